@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets",)
+MODULES = ("packing", "secrets", "token_counts")
 
 
 def queries() -> dict:
