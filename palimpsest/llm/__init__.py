@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "secrets", "sharding", "simhash", "token_counts", "topk")
+MODULES = ("bpe", "packing", "secrets", "sharding", "simhash", "substrings", "token_counts", "topk")
 
 
 def queries() -> dict:
