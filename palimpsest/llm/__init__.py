@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "secrets", "sharding", "simhash", "substrings", "token_counts", "topk", "toxicity")
+MODULES = ("bpe", "media", "packing", "secrets", "sharding", "simhash", "substrings", "token_counts", "topk", "toxicity")
 
 
 def queries() -> dict:

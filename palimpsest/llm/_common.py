@@ -34,21 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and go on from the written copy.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for what all executors must read: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a temporary folder serves a local
-    master (tests); on a cluster an unset folder is an error.
+    Where that is unset, a temporary folder serves a local master (tests); on a cluster an unset folder is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if at is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="palimpsest-checkpoint-")
     if sc.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if at is None:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="palimpsest-checkpoint-")
         sc.setCheckpointDir(at)
+    return at
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from the written copy."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -58,6 +62,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
