@@ -169,8 +169,11 @@ def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     blocks = _common.checkpoint(mixed.groupBy("h", "ph").agg(F.count("*").alias("c"), F.min(uid).alias("copy")))
     mixed = _common.checkpoint(mixed.join(blocks, ["h", "ph"]).select("k", "t", "first", "size", "h", "c", (uid == F.col("copy")).alias("one")))
     del blocks
-    wanted = mixed.where("one").groupBy("k", "t").agg(F.collect_list(F.struct("first", "size", "h", "c")).alias("blocks"))  # at most a document's windows
-    expanded = _common.checkpoint(_windows(texts.join(_common.checkpoint(wanted), ["k", "t"]).select("k", "t", "text", "blocks"), window))
+    _common.release(spark)
+    wanted = _common.checkpoint(mixed.where("one").groupBy("k", "t").agg(F.collect_list(F.struct("first", "size", "h", "c")).alias("blocks")))  # at most a document's windows
+    _common.release(spark)
+    expanded = _common.checkpoint(_windows(texts.join(wanted, ["k", "t"]).select("k", "t", "text", "blocks"), window))
+    del wanted
     _common.release(spark)
     twice = _common.checkpoint(expanded.groupBy("h", "wh").agg(F.sum("weight").alias("n")).where(F.col("n") > 1).select("h", "wh"))
     border = expanded.where("weight = 1").join(twice, ["h", "wh"]).select("k", "t", "first", F.expr("shiftleft(1L, bit)").alias("bits"))
@@ -179,6 +182,7 @@ def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = met.where("not mixed").select("k", "t", "first", every).unionByName(mixed.where("c > 1").select("k", "t", "first", every))
     marks = whole.unionByName(border).groupBy("k", "t", "first").agg(F.bit_or("bits").alias("bits"))
     marks = _common.checkpoint(marks.groupBy("k", "t").agg(F.collect_list(F.struct("first", "bits")).alias("marks")))
+    del met, mixed, expanded, twice, border, whole
     _common.release(spark)
     return marks
 
