@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from palimpsest.plans.oracles import ORACLES
+from palimpsest.plans.queries import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
