@@ -314,7 +314,9 @@ def matches(index: FullTextIndex, query: str) -> DataFrame:
         idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
         part = idf * (F.col(f"f{i}") * (K1 + 1)) / (F.col(f"f{i}") + spread)
         score = score + F.when(counted[i] & (F.col(f"f{i}") > 0), part).otherwise(0.0) if i in counted else score
-    return docs.select("conversation_id", (-score).alias("score"), "hits")
+    counts_now = F.array(*[counted.get(i, F.lit(False)) for i in range(len(phrases))])
+    hits = F.filter("hits", lambda h: counts_now[h["phrase"]])  # only phrases that count here are marked in snippets
+    return docs.select("conversation_id", (-score).alias("score"), hits.alias("hits"))
 
 
 def _nears(node: Node) -> list[tuple[tuple[int, ...], int]]:
