@@ -1,8 +1,9 @@
 """Full-text search over postings: query grammar, matching, BM25 and snippets.
 
-Postings hold one row a token: document, column, position, term. A query's phrases are found in one pass over the
-postings of its terms and one aggregation, whatever their number; the boolean expression is then a column expression
-over each document's phrase counts. Scores need the corpus' row count and token total (kept with the index) and each
+A written index holds postings, one row a token: document, column, position, term. A query's phrases are found in one
+pass over the postings of its terms and one aggregation, whatever their number. Without a written index, texts are
+scanned: each document's phrases are found within its row, and nothing but the result is shuffled. Either way the boolean
+expression is then a column expression over each document's phrase counts. Scores need the corpus' row count and token total (kept with the index) and each
 phrase's document count (one small row a phrase).
 """
 
@@ -204,15 +205,17 @@ def lengths(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class FullTextIndex:
-    """The postings and lengths of a snapshot; stays as it was built until it is built again."""
+    """The postings and lengths of a snapshot; stays as it was built until it is built again. texts: scanned by searches
+    instead of the postings, before the index is written."""
 
     postings: DataFrame
     lengths: DataFrame
+    texts: DataFrame | None = None
 
     @classmethod
     def build(cls, conversations: DataFrame) -> FullTextIndex:
         texts = indexed_text(conversations)
-        return cls(postings(texts), lengths(texts))
+        return cls(postings(texts), lengths(texts), texts)
 
     def write(self, path: str, partitions: int | None = None) -> None:
         """Postings sorted by term within files that each hold a range of terms, so that a query reads few row groups."""
@@ -288,25 +291,60 @@ def _count_of(phrase: int) -> Column:
     return F.size(F.filter("hits", lambda x: x["phrase"] == phrase)).alias(f"f{phrase}")
 
 
+_HITS = "array<struct<col:string,phrase:int,start:int>>"
+
+
+def _hits_in(tokens: Column, column: str, number: int, phrase: Phrase) -> Column:
+    """Where a phrase stands in one column's tokens."""
+
+    def start(term: Column, at: Column) -> Column:
+        tests = []
+        for place, word in enumerate(phrase.terms):
+            found = term if place == 0 else F.get(tokens, at + place)
+            tests.append(found.startswith(word) if phrase.prefix and place == len(phrase.terms) - 1 else found == word)
+        if phrase.initial:
+            tests.append(at == 0)
+        return F.when(reduce(lambda a, b: a & b, tests), F.struct(F.lit(column).alias("col"), F.lit(number).alias("phrase"), at.alias("start")))
+
+    return F.filter(F.transform(tokens, start), lambda x: x.isNotNull())
+
+
+def _scanned(texts: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """conversation_id, n, hits of every document, each found within its row."""
+    rows = texts.select("conversation_id", *[X.tokens(F.col(c)).alias(c) for c in COLUMNS])
+    found = [_hits_in(F.col(c), c, i, p) for i, p in enumerate(phrases) for c in COLUMNS if p.columns is None or c in p.columns]
+    hits = F.concat(*found).cast(_HITS) if found else F.array().cast(_HITS)
+    return rows.select("conversation_id", reduce(lambda a, b: a + b, [F.size(c) for c in COLUMNS]).cast("long").alias("n"), hits.alias("hits"))
+
+
 def matches(index: FullTextIndex, query: str) -> DataFrame:
     """conversation_id, score (negative, better ones lower), hits: (col, phrase, start) of each matching document."""
     node, phrases = parse(query)
-    ids = index.lengths.select("conversation_id")
     if not phrases:
-        return ids.where(F.lit(False)).select("conversation_id", F.lit(0.0).alias("score"), F.array().cast("array<struct<col:string,phrase:int,start:int>>").alias("hits"))
-    per_doc = occurrences(index.postings, phrases).groupBy("conversation_id").agg(F.collect_list(F.struct("col", "phrase", "start")).alias("hits"))
+        return index.lengths.where(F.lit(False)).select("conversation_id", F.lit(0.0).alias("score"), F.array().cast(_HITS).alias("hits"))
     counts = [_count_of(i) for i in range(len(phrases))]
-    docs = per_doc.select("*", *counts)
+    if index.texts is not None:
+        every = _scanned(index.texts, phrases)
+        docs = every.where(F.size("hits") > 0).select("*", *counts)
+        # over the same rows, so that what was shuffled to make them is used again
+        sizes = [F.coalesce(F.sum((c > 0).cast("long")), F.lit(0)) for c in counts]
+        facts = every.select("n", "hits").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), *[x.alias(f"df{i}") for i, x in enumerate(sizes)])
+    else:
+        per_doc = occurrences(index.postings, phrases).groupBy("conversation_id").agg(F.collect_list(F.struct("col", "phrase", "start")).alias("hits"))
+        docs = per_doc.select("*", *counts)
+        freq = docs.agg(*[F.coalesce(F.sum((F.col(f"f{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(phrases))])
+        corpus = index.lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
+        facts = freq.join(F.broadcast(corpus))
     # a phrase's document count is its own, whatever NEAR leaves of it
-    freq = docs.agg(*[F.coalesce(F.sum((F.col(f"f{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(phrases))])
-    corpus = index.lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
     for number, (inside, distance) in enumerate(_nears(node)):
         sizes = tuple(len(phrases[p].terms) for p in inside)
         counter = F.udf(lambda hits, inside=inside, sizes=sizes, distance=distance: [near_counts(hits, inside, sizes, distance)[p] for p in inside], "array<int>")
         docs = docs.withColumn(f"near{number}", counter("hits"))
         docs = docs.withColumns({f"f{p}": F.col(f"near{number}")[k] for k, p in enumerate(inside)})
     holds, counted = _condition(node)
-    docs = docs.where(holds).join(F.broadcast(freq)).join(F.broadcast(corpus)).join(index.lengths, "conversation_id")  # one row each
+    docs = docs.where(holds).join(F.broadcast(facts))  # one row
+    if index.texts is None:
+        docs = docs.join(index.lengths, "conversation_id")
     spread = K1 * (1 - B + B * F.col("n") / (F.col("n_tokens") / F.col("n_docs")))
     score = F.lit(0.0)
     for i in range(len(phrases)):

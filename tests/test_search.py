@@ -14,13 +14,13 @@ from palimpsest.plans import adapter
 def corpus(spark):
     rows = adapter.conversations(spark, "/root/testdata/sf0.001").persist()
     index = X.FullTextIndex.build(rows)
-    index.postings, index.lengths = index.postings.persist(), index.lengths.persist()
+    written = X.FullTextIndex(index.postings.persist(), index.lengths.persist())
     lite = sqlite3.connect(":memory:")
     lite.execute("create virtual table f using fts5(conversation_id unindexed, title, transcript_text, summary_text, topic_tags, tokenize='unicode61')")
     texts = rows.select("conversation_id", "title", "transcript_text", "topic_tags").collect()
     for r in texts:
         lite.execute("insert into f values (?, ?, ?, '', ?)", (r.conversation_id, r.title, r.transcript_text, json.dumps(r.topic_tags, separators=(",", ":"))))
-    return rows, index, lite
+    return rows, (index, written), lite
 
 
 QUERIES = [
@@ -29,9 +29,11 @@ QUERIES = [
 ]
 
 
+@pytest.mark.parametrize("written", [0, 1])
 @pytest.mark.parametrize("query", QUERIES)
-def test_matches_scores_and_snippets_equal_an_independent_engine(spark, corpus, query):
-    rows, index, lite = corpus
+def test_matches_scores_and_snippets_equal_an_independent_engine(spark, corpus, query, written):
+    rows, (*indexes,), lite = corpus
+    index = indexes[written]
     want = {r[0]: r[1:] for r in lite.execute("select conversation_id, bm25(f), snippet(f, 2, '[', ']', '…', 18) from f where f match ?", (query,))}
     _, phrases = X.parse(query)
     found = X.matches(index, query).join(rows.select("conversation_id", "transcript_text"), "conversation_id")
@@ -77,7 +79,7 @@ def test_semantic_order_and_what_cannot_be_compared(spark):
 
 
 def test_hybrid_swallows_syntax_errors(corpus):
-    rows, index, _ = corpus
+    rows, (index, _), _ = corpus
     rows = rows.withColumn("embedding", V.hashed_embedding_col(F.col("transcript_text")))
     got = S.hybrid_search(rows, index, V.hashed_embedding("what's").tolist(), S.SearchOptions(query="what's", limit=3)).collect()
     assert len(got) == 3 and got[0].score == pytest.approx(1 / 61)
