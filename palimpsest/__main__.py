@@ -10,6 +10,8 @@ from palimpsest.api import Access, Index, Tools, default_home
 from palimpsest.schema import SearchMode
 from palimpsest.session import session
 from palimpsest.sources import backup, normalized
+from palimpsest.streaming import remote
+from palimpsest.streaming.backfill import backfill
 from palimpsest.streaming.sync import INITIAL_SINCE, OVERLAP_HOURS
 
 PROVIDERS = ("codex", "gemini", "antigravity")
@@ -28,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
 
     yes, number, many = {"action": "store_true"}, {"type": int}, {"action": "append", "default": []}
     roots = ("--root", many | {"dest": "roots"})
-    add("import", ("--archive", {"required": True}), ("--run-jobs", yes), ("--force", yes))
+    add("import", ("--archive", {"required": True}), ("--mode", {"choices": ["copy", "adopt"]}), ("--run-jobs", yes), ("--force", yes))
     for name in PROVIDERS:
         add(f"import-{name}", roots, ("--since", {}), ("--skip-existing", yes))
         add(f"export-{name}", roots, ("--since", {}))
@@ -45,6 +47,8 @@ def parser() -> argparse.ArgumentParser:
     add("summarize-missing", ("--force", yes), ("--limit", number))
     add("embed-missing", ("--force", yes), ("--limit", number))
     add("reindex-fts")
+    add("backfill", ("--summaries", {"type": int, "default": 5}), ("--embeddings", {"type": int, "default": 64}))
+    add("push", ("provider", {"choices": PROVIDERS}), ("destination", {}), roots)
     add("backup", ("--output", {"required": True}), ("--overwrite", yes))
     add("restore", ("--input", {"required": True}), ("--confirm-writer-stopped", yes))
     add("export-bundle", ("--output", {"required": True}))
@@ -67,7 +71,7 @@ def run(index: Index, a: argparse.Namespace) -> object:
     if a.command == "search":
         return rows(index.search(**{k: getattr(a, k) for k in ("query", "mode", "date_from", "date_to", "model", "sources", "risk_flags", "topic_tags", "limit")}))
     commands = {
-        "import": lambda: index.import_archive(a.archive, a.run_jobs, a.force),
+        "import": lambda: index.import_archive(a.archive, a.run_jobs, a.force, a.mode),
         "resume": index.resume,
         "stats": index.stats,
         "show": lambda: next(iter(rows(index.get_conversation(a.conversation_id, a.include_raw))), None),
@@ -75,6 +79,8 @@ def run(index: Index, a: argparse.Namespace) -> object:
         "summarize-missing": lambda: {"completed": index.rebuild_summaries(a.force, None, a.limit)},
         "embed-missing": lambda: {"completed": index.rebuild_embeddings(a.force, None, a.limit)},
         "reindex-fts": index.reindex,
+        "backfill": lambda: backfill(index, a.summaries, a.embeddings),
+        "push": lambda: remote.push(index, a.provider, a.roots, a.destination),
         "backup": lambda: index.backup(a.output, a.overwrite),
         "restore": lambda: index.restore(a.input, a.confirm_writer_stopped),
         "export-bundle": lambda: backup.export_bundle(index.store, a.output),

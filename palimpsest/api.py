@@ -109,10 +109,13 @@ class Index:
             self.reindex()
         return report
 
-    def import_archive(self, path: str, run_jobs: bool = False, force: bool = False) -> dict:
-        """An account export: conversations, messages, attachments; then, if wanted, summaries and embeddings."""
+    def import_archive(self, path: str, run_jobs: bool = False, force: bool = False, mode: str | None = None) -> dict:
+        """An account export: conversations, messages, attachments; then, if wanted, summaries and embeddings. With a mode
+        (copy or adopt) the archive is first staged in the index's folder."""
+        if mode is not None:
+            path = exports.stage(self.spark, path, self.store.home, schema.ImportMode(mode))
         digest = exports.digests(self.spark, path).orderBy("path").first()
-        archive = {"id": self._next_id("archives"), "archive_path": path, "source_path": path, "sha256_hex": digest["sha256_hex"], "size_bytes": digest["size_bytes"], "import_mode": "copy"}
+        archive = {"id": self._next_id("archives"), "archive_path": path, "source_path": path, "sha256_hex": digest["sha256_hex"], "size_bytes": digest["size_bytes"], "import_mode": mode or "in_place"}
         rows = exports.read(self.spark, path).persist()
         members = exports.members(self.spark, path)
         incoming = upsert.latest(upsert.conversation_rows(rows, archive["id"]))

@@ -143,3 +143,18 @@ def members(spark: SparkSession, path: str) -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256_hex, size_bytes of files."""
     return archives(spark, path).select("path", F.sha2("content", 256).alias("sha256_hex"), F.col("length").alias("size_bytes"))
+
+
+def stage(spark: SparkSession, source: str, home: str, mode: str = "copy") -> str:
+    """Bring an archive into the index's folder: moved when adopted, else copied. A staged file of the same length is
+    kept as it is."""
+    target = f"{home.rstrip('/')}/sources/{source.rstrip('/').rsplit('/', 1)[-1]}"
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    at, to = hadoop.Path(source), hadoop.Path(target)
+    here, there = at.getFileSystem(conf), to.getFileSystem(conf)
+    if there.exists(to) and (not here.exists(at) or there.getFileStatus(to).getLen() == here.getFileStatus(at).getLen()):
+        return target
+    there.mkdirs(to.getParent())
+    if not hadoop.FileUtil.copy(here, at, there, to, mode == "adopt", True, conf):
+        raise OSError(f"could not stage {source}")
+    return target
