@@ -8,6 +8,10 @@ as they are. So (segment, its bits, sub-block left out, the other two's bits) is
 nine keys a fingerprint, each of about 35 bits. Candidates that share a key go through the chain check, then the full
 Hamming check.
 
+A document may have several fingerprints, made from the same shingle hashes by different mixings; documents link when
+any of them does. One fingerprint catches a near copy only if few of its bits happen to flip; several catch more of
+them, and each is filtered and checked the same way.
+
 Equal fingerprints are first reduced to one. A key that more than ``bucket`` fingerprints share isn't compared in pairs:
 its fingerprints are linked exactly through midpoints instead. Two fingerprints differ in at most two bits if and only
 if some 64-bit string differs from each in at most one, so a star for each such string, over the fingerprint and its 64
@@ -37,36 +41,52 @@ WORDS, SEED, MOST = 3, 42, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash of the lower-cased text's word shingles; a bit is set if more than half of them set it."""
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The hashes themselves for number 0, else another 64-bit hash of each."""
+    if not number:
+        return hashes
+    x = hashes ^ np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints_of(text: str, words: int = WORDS, seed: int = SEED, signatures: int = 1) -> list[int]:
+    """Signed 64-bit SimHashes of the lower-cased text's word shingles; a bit is set if more than half of them set it."""
     parts = text.encode().lower().split()  # on bytes: A-Z and the six ASCII white space characters only
     if not parts:
-        return 0
+        return [0] * signatures
     if len(parts) <= words:
         hashes = [xxhash.xxh64_intdigest(b" ".join(parts), seed)]
     else:
         grams = zip(*(parts[i:] for i in range(words)), strict=False)
         digest, join = xxhash.xxh64_intdigest, b" ".join
         hashes = [digest(join(g), seed) for g in grams]
-    bits = np.zeros(64, dtype=np.int64)
-    n = len(hashes)
-    values = np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, 8)
-    for at in range(0, n, 1 << 16):
-        bits += np.unpackbits(values[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > n, bitorder="little").view("<i8")[0])
+    base, n, out = np.array(hashes, dtype="<u8"), len(hashes), []
+    for number in range(signatures):
+        bits = np.zeros(64, dtype=np.int64)
+        values = _mixed(base, number).view(np.uint8).reshape(n, 8)
+        for at in range(0, n, 1 << 16):
+            bits += np.unpackbits(values[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * bits > n, bitorder="little").view("<i8")[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp long."""
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    return fingerprints_of(text, words, seed)[0]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED, signatures: int = 1) -> DataFrame:
+    """doc_id, fps array<long>."""
     _common.prepare(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.slices(batches):
-            fps = [fingerprint(x, words, seed) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprints_of(x, words, seed, signatures) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fps"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), _common.text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), _common.text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, fps array<long>")
 
 
 def _bits(fp: Column, first: int, n: int) -> Column:
@@ -95,26 +115,39 @@ def chain_holds(a: Column, b: Column) -> Column:
 
 
 def links(fps: DataFrame, bucket: int = 16) -> DataFrame:
-    """u, v: edges with the components of all links of distinct fingerprints (column fp)."""
-    keyed = fps.select("fp", F.explode(ring_keys(F.col("fp"))).alias("key"))
+    """j, u, v: edges with the components of all links of distinct fingerprints (columns j, the signature, and fp)."""
+    tagged = F.transform(ring_keys(F.col("fp")), lambda key: key + F.col("j").cast("long") * F.lit(9 << 44))
+    keyed = fps.select("j", "fp", F.explode(tagged).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     near = _common.checkpoint(keyed.join(shared, "key"))
-    few = near.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # at most bucket values
-    pairs = few.select("fps", F.posexplode("fps").alias("i", "u")).select("u", F.explode(F.slice("fps", F.col("i") + 2, F.lit(bucket))).alias("v"))
+    few = near.where(F.col("n") <= bucket).groupBy("j", "key").agg(F.collect_list("fp").alias("fps"))  # at most bucket values
+    pairs = few.select("j", "fps", F.posexplode("fps").alias("i", "u")).select("j", "u", F.explode(F.slice("fps", F.col("i") + 2, F.lit(bucket))).alias("v"))
     pairs = pairs.where(chain_holds(F.col("u"), F.col("v"))).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST)
-    many = near.where(F.col("n") > bucket).select("fp").distinct()
+    many = near.where(F.col("n") > bucket).select("j", "fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    mids = many.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("mid"))
-    stars = mids.groupBy("mid").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # at most 65 values
-    stars = stars.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where(F.col("u") != F.col("v"))
-    return pairs.select("u", "v").unionByName(stars.select("u", "v")).distinct()
+    mids = many.select("j", "fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("mid"))
+    stars = mids.groupBy("j", "mid").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # at most 65 values
+    stars = stars.select("j", F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where(F.col("u") != F.col("v"))
+    return pairs.select("j", "u", "v").unionByName(stars.select("j", "u", "v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = 16) -> DataFrame:
-    """doc_id, fp, component_id: the least id of all documents whose fingerprints are reachable over links."""
-    hashed = _common.checkpoint(fingerprints(docs, id_col, text_col))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, signatures: int = 1, bucket: int = 16) -> DataFrame:
+    """doc_id, fp, component_id: the least id of all documents whose fingerprints are reachable over links. fp is the
+    first signature; documents that share it are one node."""
+    hashed = _common.checkpoint(fingerprints(docs, id_col, text_col, words, signatures=signatures).select("doc_id", F.col("fps")[0].alias("fp"), "fps"))
     least = _common.checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    rooted = components(links(least.select("fp"), bucket))
+    first = least.select(F.lit(0).alias("j"), "fp", F.col("fp").alias("node"))
+    if signatures == 1:
+        edges = links(first, bucket).select("u", "v")
+    else:
+        own = hashed.select("fp", F.posexplode("fps").alias("j", "f")).distinct()
+        nodes = _common.checkpoint(own.groupBy("j", "f").agg(F.min("fp").alias("node")))
+        same = own.where("j > 0").join(nodes, ["j", "f"]).where("fp <> node").select(F.col("fp").alias("u"), F.col("node").alias("v"))
+        found = _common.checkpoint(links(nodes.select("j", F.col("f").alias("fp")), bucket))
+        at = lambda side: nodes.select("j", F.col("f").alias(side), F.col("node").alias(f"{side}_node"))
+        linked = found.join(at("u"), ["j", "u"]).join(at("v"), ["j", "v"]).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+        edges = same.unionByName(linked)
+    rooted = components(edges)
     classed = least.join(rooted, least.fp == rooted.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = _common.checkpoint(classed.join(ids, "root").select("fp", "component_id"))
@@ -122,10 +155,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return hashed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = 16) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, signatures: int = 1, bucket: int = 16) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one of least id. Of rows that repeat an id, all
     of the kept id stay."""
-    kept = near_duplicates(docs, id_col, text_col, bucket).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = near_duplicates(docs, id_col, text_col, words, signatures, bucket).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
 

@@ -61,9 +61,11 @@ def test_links_of_dense_balls_and_chains(spark):
             x ^= 1 << b
     fps |= {rng.getrandbits(64) for _ in range(100)}
     want = brute_components({signed(f): f for f in fps})
-    table = spark.createDataFrame([(signed(f),) for f in fps], "fp long").repartition(4)
+    table = spark.createDataFrame([(3, signed(f)) for f in fps], "j int, fp long").repartition(4)
     for bucket in (2, 16, 1000):
         edges = simhash.links(table, bucket)
+        assert {r.j for r in edges.select("j").distinct().collect()} == {3}
+        edges = edges.select("u", "v")
         assert all(((r.u % (1 << 64)) ^ (r.v % (1 << 64))).bit_count() <= 2 for r in edges.collect())
         roots = {r.node: r.root for r in components(edges).collect()}
         assert {f: roots.get(f, f) for f in want} == want
@@ -77,6 +79,33 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_several_signatures_equal_brute_force(frame):
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randint(30, 250))]
+        rows.append((10 * i, " ".join(base)))
+        for k in range(rng.randint(0, 3)):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = "changed"
+            rows.append((10 * i + 1 + k, " ".join(copy)))
+    rows += [(900, rows[0][1]), (901, ""), (902, None)]
+    fps = {i: [f % (1 << 64) for f in simhash.fingerprints_of(t or "", 5, signatures=4)] for i, t in rows}
+    assert all(fps[i][0] == simhash.fingerprint(t or "", 5) % (1 << 64) for i, t in rows)
+    keys, parent = sorted(fps), {}
+    for k in keys:
+        parent[k] = k
+    for a in keys:
+        for b in keys:
+            if a < b and any((x ^ y).bit_count() <= 2 for x, y in zip(fps[a], fps[b], strict=True)):
+                low, high = sorted((parent[a], parent[b]))
+                parent = {k: low if v == high else v for k, v in parent.items()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(rows), words=5, signatures=4, bucket=3).collect()}
+    assert got == parent
+    one = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(rows), words=5).collect()}
+    assert len(set(got.values())) < len(set(one.values()))
+
+
 def test_keep_one(frame):
     base = " ".join(f"w{i}" for i in range(400))
     docs = frame([(5, base), (3, base), (9, base + " more"), (7, "another text of its own kind"), (None, None), (11, "")])
