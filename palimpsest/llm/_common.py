@@ -5,8 +5,9 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df written as Parquet to the shared folder, and a function that deletes it. Smaller than a checkpoint, and read by
+    column; what is made of it must be written before it is deleted."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/table-{uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.parquet(at), lambda: delete(spark, at)
+
+
 def release(spark: SparkSession) -> None:
     """Have the context cleaner drop shuffle files and checkpoints that nothing refers to any more."""
     gc.collect()

@@ -157,10 +157,12 @@ def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if window - gram + 1 > 62:
         raise ValueError("a passage's windows must fit the bits of a long")
     texts = _keyed(docs, id_col, text_col)
-    index = _common.checkpoint(_anchors(texts, window, gram))
+    index, drop_index = _common.stored(_anchors(texts, window, gram))
     anchors = index.groupBy("h").agg(F.count("*").alias("n"), F.min("ph").alias("low"), F.max("ph").alias("high")).where(F.col("n") > 1)
     anchors = _common.checkpoint(anchors.select("h", (F.col("low") != F.col("high")).alias("mixed")))
-    met = _common.checkpoint(index.join(anchors, "h"))
+    _common.release(spark)
+    met, drop_met = _common.stored(index.join(anchors, "h"))
+    drop_index()
     del index, anchors
     _common.release(spark)
 
@@ -172,7 +174,7 @@ def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     _common.release(spark)
     wanted = _common.checkpoint(mixed.where("one").groupBy("k", "t").agg(F.collect_list(F.struct("first", "size", "h", "c")).alias("blocks")))  # at most a document's windows
     _common.release(spark)
-    expanded = _common.checkpoint(_windows(texts.join(wanted, ["k", "t"]).select("k", "t", "text", "blocks"), window))
+    expanded, drop_expanded = _common.stored(_windows(texts.join(wanted, ["k", "t"]).select("k", "t", "text", "blocks"), window))
     del wanted
     _common.release(spark)
     twice = _common.checkpoint(expanded.groupBy("h", "wh").agg(F.sum("weight").alias("n")).where(F.col("n") > 1).select("h", "wh"))
@@ -182,6 +184,8 @@ def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = met.where("not mixed").select("k", "t", "first", every).unionByName(mixed.where("c > 1").select("k", "t", "first", every))
     marks = whole.unionByName(border).groupBy("k", "t", "first").agg(F.bit_or("bits").alias("bits"))
     marks = _common.checkpoint(marks.groupBy("k", "t").agg(F.collect_list(F.struct("first", "bits")).alias("marks")))
+    drop_met()
+    drop_expanded()
     del met, mixed, expanded, twice, border, whole
     _common.release(spark)
     return marks
