@@ -8,7 +8,7 @@ lower bound are out, and the survivors are compacted before the next block. The
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
 only vectors of equal length are compared; a row is never its own answer (rows that repeat a query's id count as its
-own); ties go to the smaller id; fewer rows than k give fewer answers; an empty table gives none; extra columns are
+own); ties go to the smaller id; a score beyond 64 bits is an error; fewer rows than k give fewer answers; an empty table gives none; extra columns are
 ignored.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import _common
 
-#: Dimensions to a block of the branch-and-bound.
-DIMS = 16
+#: Dimensions to a block of the branch-and-bound, and queries whose first block is multiplied at once.
+DIMS, TOGETHER = 16, 64
 
 
 def _matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -58,10 +58,12 @@ def bounded_top_k(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
     left = [np.sqrt((vertical[e:] ** 2).sum(axis=0)) for e in edges]
     query_left = [np.sqrt((queries[:, e:] ** 2).sum(axis=1)) for e in edges]
     out = []
-    first = queries[:, : edges[1]] @ vertical[: edges[1]] if d else np.zeros((len(queries), n))
+    first = np.zeros((0, n))
     for i, (q, qid) in enumerate(zip(queries, query_ids, strict=True)):
+        if i % TOGETHER == 0:  # a few queries' first products at a time, whatever the blocks' size
+            first = queries[i : i + TOGETHER, : edges[1]] @ vertical[: edges[1]] if d else np.zeros((TOGETHER, n))
         live = np.flatnonzero(row_ids != qid)
-        score = first[i, live]
+        score = first[i % TOGETHER, live]
         for b in range(1, len(edges)):
             if len(live) > k and b < len(edges) - 1:
                 slack = query_left[b][i] * left[b][live] * (1 + 1e-9) + 1e-6  # rounding never hides a row
