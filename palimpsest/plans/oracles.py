@@ -66,12 +66,13 @@ corpus AS (SELECT count(*) AS n, avg(d) AS avgdl FROM len)"""
 )
 
 
-def _bm25(phrases: list[str], holds: str, scoring: list[int] | None = None) -> str:
-    """phrases: SQL that gives (conversation_id, f) of each; holds: a condition over f0, f1, ..."""
+def _bm25(phrases: list[str], holds: str, scoring: list[int] | None = None, plain: list[str] | None = None) -> str:
+    """phrases: SQL that gives (conversation_id, f) of each; holds: a condition over f0, f1, ...; plain: where document
+    counts come from, if not from the same."""
     scoring = list(range(len(phrases))) if scoring is None else scoring
     ctes = "".join(f", p{i} AS ({sql})" for i, sql in enumerate(phrases))
     joins = " ".join(f"LEFT JOIN p{i} ON p{i}.conversation_id = l.conversation_id" for i in range(len(phrases)))
-    cols = ", ".join(f"coalesce(p{i}.f, 0) AS f{i}, (SELECT count(*) FROM p{i}) AS df{i}" for i in range(len(phrases)))
+    cols = ", ".join(f"coalesce(p{i}.f, 0) AS f{i}, (SELECT count(*) FROM {f'({plain[i]})' if plain else f'p{i}'}) AS df{i}" for i in range(len(phrases)))
     terms = " + ".join(f"CASE WHEN f{i} > 0 THEN greatest(coalesce(nullif(greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 0), 0), 1e-6), 0) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / avgdl)) ELSE 0 END" for i in scoring)
     return f"WITH {POSTINGS}{ctes}, f AS (SELECT l.conversation_id, l.d, {cols} FROM len l {joins}) SELECT conversation_id, round(-({terms}), 6) AS score FROM f, corpus WHERE {holds}"
 
@@ -80,6 +81,11 @@ def _term(condition: str) -> str:
     return f"SELECT conversation_id, count(*) AS f FROM post WHERE {condition} GROUP BY conversation_id"
 
 
+def _near(side: str) -> str:
+    """Occurrences of either word with at most 12 tokens to one of the other."""
+    return f"SELECT conversation_id, count(*) AS f FROM (SELECT DISTINCT a.conversation_id, a.col, {side}.pos FROM post a JOIN post b ON a.conversation_id = b.conversation_id AND a.col = b.col AND a.term = 'thing' AND b.term = 'from' AND abs(a.pos - b.pos) <= 13) GROUP BY 1"
+
+
 _AND = _bm25([_term("term = 'thing'"), _term("term = 'from'")], "f0 > 0 AND f1 > 0")
 
 
@@ -182,6 +188,7 @@ SELECT doc_id, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE x
     "fts_prefix": _bm25([_term("starts_with(term, 'thin')")], "f0 > 0"),
     "fts_column": _bm25([_term("term = 'the' AND col = 'title'")], "f0 > 0"),
     "fts_initial": _bm25([_term("term = 'user' AND pos = 0")], "f0 > 0"),
+    "fts_near": _bm25([_near("a"), _near("b")], "f0 > 0", None, [_term("term = 'thing'"), _term("term = 'from'")]),
     "cosine_knn": KNN.format(own=0, where="", limit=25),
     "related": KNN.format(own=7, where="WHERE vec_id <> 7", limit=10),
     "hashed_embedding": f"WITH {CONV}, {HASHED.format(text='transcript_text', rows='conv')} SELECT conversation_id, bucket, weight FROM hashed WHERE weight <> 0",
