@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import _common
+from palimpsest.llm import _common, _jaccard
 from palimpsest.llm._components import components
 
 WORDS, SEED, MOST = 3, 42, 2
@@ -51,17 +51,26 @@ def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _shingles(text: str, words: int, seed: int) -> list[int]:
+    """Hashes of the lower-cased text's word shingles, repeats included; none of an empty text."""
+    parts = text.encode().lower().split()  # on bytes: A-Z and the six ASCII white space characters only
+    if len(parts) <= words:
+        return [xxhash.xxh64_intdigest(b" ".join(parts), seed)] if parts else []
+    grams = zip(*(parts[i:] for i in range(words)), strict=False)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return [digest(join(g), seed) for g in grams]
+
+
+def shingle_set(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The different hashes of the text's shingles, sorted."""
+    return np.unique(np.array(_shingles(text, words, seed), dtype=np.uint64))
+
+
 def fingerprints_of(text: str, words: int = WORDS, seed: int = SEED, signatures: int = 1) -> list[int]:
     """Signed 64-bit SimHashes of the lower-cased text's word shingles; a bit is set if more than half of them set it."""
-    parts = text.encode().lower().split()  # on bytes: A-Z and the six ASCII white space characters only
-    if not parts:
+    hashes = _shingles(text, words, seed)
+    if not hashes:
         return [0] * signatures
-    if len(parts) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(parts), seed)]
-    else:
-        grams = zip(*(parts[i:] for i in range(words)), strict=False)
-        digest, join = xxhash.xxh64_intdigest, b" ".join
-        hashes = [digest(join(g), seed) for g in grams]
     base, n, out = np.array(hashes, dtype="<u8"), len(hashes), []
     for number in range(signatures):
         bits = np.zeros(64, dtype=np.int64)
@@ -155,11 +164,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return hashed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, signatures: int = 1, bucket: int = 16) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one of least id. Of rows that repeat an id, all
-    of the kept id stay."""
-    kept = near_duplicates(docs, id_col, text_col, words, signatures, bucket).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bound: float = 0.8) -> DataFrame:
+    """docs with one document of each group of texts that links of shingle similarity >= bound hold together: the one of
+    least id. Of rows that repeat an id, all of the kept id stay."""
+    body = _common.text_or_empty(text_col)
+    rows = _jaccard.grouped(docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("t"), body.alias("text")), lambda x: shingle_set(x, words), bound)
+    kept = rows.groupBy("root").agg(F.min("id").alias("__kept")).select("__kept").distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
 
 
