@@ -41,6 +41,18 @@ def test_stage_links_what_brute_force_links(spark, sf, frame):
     assert kept(spark, sf, frame(rows, extra=False)) == brute_kept(rows)
 
 
+def test_a_dominant_repeated_shingle_does_not_link(spark, sf, frame):
+    rows = [(i, "na " * 300 + " ".join(f"w{i}x{k}" for k in range(200))) for i in range(3)]
+    assert kept(spark, sf, frame(rows, extra=False)) == [0, 1, 2]
+
+
+def test_links_hold_to_the_bound_on_both_sides(spark, sf, frame):
+    """Sets of n and n + k shingles, one within the other: similarity n / (n + k)."""
+    words = [f"w{k}" for k in range(14)]
+    assert kept(spark, sf, frame([(1, " ".join(words[:12])), (2, " ".join(words))], extra=False)) == [1]  # 8 of 10
+    assert kept(spark, sf, frame([(1, " ".join(words[:11])), (2, " ".join(words))], extra=False)) == [1, 2]  # 7 of 10
+
+
 def test_large_groups_in_blocks(spark, sf, frame, monkeypatch):
     from palimpsest.llm import _jaccard
 
