@@ -165,12 +165,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bound: float = 0.8) -> DataFrame:
-    """docs with one document of each group of texts that links of shingle similarity >= bound hold together: the one of
-    least id. Of rows that repeat an id, all of the kept id stay."""
-    body = _common.text_or_empty(text_col)
-    rows = _jaccard.grouped(docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("t"), body.alias("text")), lambda x: shingle_set(x, words), bound)
-    kept = rows.groupBy("root").agg(F.min("id").alias("__kept")).select("__kept").distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    """docs with one row of each group of texts that links of shingle similarity >= bound hold together: the first by
+    id (nulls last), the text's hash and the row's hash. Of rows equal in all columns one stays."""
+    body, own = _common.text_or_empty(text_col), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(body).alias("hash"), own.alias("row"))
+    rows = _jaccard.grouped(docs.select(order.alias("first"), F.xxhash64(body).alias("t"), body.alias("text")), lambda x: shingle_set(x, words), bound)
+    kept = rows.groupBy("root").agg(F.min("first").alias("first"))
+    kept = _common.checkpoint(kept.join(rows.groupBy("first").agg(F.count("*").alias("n")), "first").select(F.col("first.row").alias("__row"), F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"), F.col("n").alias("__n")))
+    rowed = docs.withColumns({"__own": own, "__text": F.xxhash64(body)})
+    met = rowed.join(kept, (F.col("__own") == F.col("__row")) & (F.col("__text") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    once, again = met.where("__n = 1"), met.where("__n > 1").dropDuplicates(["__own", "__text", "__id"])
+    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,19 @@ def test_large_groups_in_blocks(spark, sf, frame, monkeypatch):
     monkeypatch.setattr(_jaccard, "BLOCK", 3)
     rows = near_copies(random.Random(18))
     assert kept(spark, sf, frame(rows, extra=False)) == brute_kept(rows)
+
+
+def test_a_repeated_row_keeps_its_text_through_substring_dedup(spark, sf, frame):
+    text, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    docs = frame([(1, text), (1, text), (1, other), (2, text), (3, "of its own"), (None, other)], extra=False)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, text), (1, other), (3, "of its own")]
+    cut = corpus_pipeline.cut_repeated_passages(spark, left, sf)
+    assert sorted((r.doc_id, r.text) for r in cut.collect()) == [(1, text), (1, other), (3, "of its own")]
+
+
+def test_rows_equal_in_id_and_text_leave_one(spark, sf, frame):
+    from pyspark.sql import functions as F
+
+    docs = frame([(1, "some text")] * 3, extra=False).withColumn("source", F.when(F.rand() < 2, F.monotonically_increasing_id().cast("string")))
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, sf).count() == 1
