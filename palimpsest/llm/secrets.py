@@ -2,7 +2,8 @@
 
 Two character models of order one are trained from labelled samples: one from random strings, one from ordinary
 identifiers. A candidate string that no base pattern covers is reported when the random model explains it better
-than the ordinary one by at least ``min_llr`` nats a character on average.
+than the ordinary one by at least ``min_llr`` nats a character on average; of a candidate that falls short as a whole,
+as a token in a path does, the segments of at least 16 characters that don't.
 
 Defined results: a null text counts as empty and has no spans; an empty text has none; repeated rows each return
 their own row; an empty table returns no rows; extra columns are ignored (the operator reads an id and a text column
@@ -36,6 +37,9 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 #: What the Markov models judge.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_MARKOV = 16
+#: What parts of a candidate end at, and how many characters of a part are stray.
+DELIMITERS, STRAY = "/_=-", 4
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 #: Parts that ordinary identifiers are built of.
@@ -102,6 +106,18 @@ class MarkovPair:
     def llr(self, text: str) -> float:
         return float(self.ratio[self._pairs(text)].mean()) if text else -math.inf
 
+    def best(self, text: str, least: int, cut: float) -> tuple[int, int, float]:
+        """(start, end, sum) of the segment of at least that many characters whose ratios, less cut each, add up to
+        most; its mean is at least cut where the sum isn't negative."""
+        first, x = self._pairs(text)
+        start = self.ratio[len(ALPHABET), x] - cut  # as if the text began there
+        sums = np.concatenate([[0.0], np.cumsum(self.ratio[first, x] - cut)])
+        gain = start - sums[1:]
+        ends = np.arange(least, len(text) + 1)
+        values = sums[ends] + np.maximum.accumulate(gain)[ends - least]
+        end = int(ends[values.argmax()])
+        return int(gain[: end - least + 1].argmax()), end, float(values.max())
+
 
 _MODEL: dict[tuple, MarkovPair] = {}
 
@@ -120,8 +136,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _fitted(word: str, s: int, e: int) -> tuple[int, int]:
+    """A segment's ends moved to the delimiters near them: outwards over a part that is mostly in it, so that no end of
+    a secret is left, inwards over stray characters of another part."""
+    a, b = max(word.rfind(c, 0, s) for c in DELIMITERS) + 1, min((at for c in DELIMITERS if (at := word.find(c, s)) >= 0), default=len(word))
+    if 2 * (min(b, e) - s) >= b - a:
+        s = a
+    elif b - s <= STRAY and e - b > LEAST_MARKOV:
+        s = b + 1
+    a, b = max(word.rfind(c, 0, e) for c in DELIMITERS) + 1, min((at for c in DELIMITERS if (at := word.find(c, e)) >= 0), default=len(word))
+    if 2 * (e - max(a, s)) >= b - a:
+        e = b
+    elif e - a <= STRAY and a - 1 - s >= LEAST_MARKOV:
+        e = a - 1
+    return s, e
+
+
+def _mixed(word: str) -> bool:
+    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+
+
+def _judged(word: str, pair: MarkovPair, min_llr: float) -> list[tuple[int, int]]:
+    """Spans of a candidate that the random model explains better: the whole, or else its best segment and what the
+    rest has."""
+    out, todo = [], [(0, len(word))]
+    while todo:
+        at, end = todo.pop()
+        part = word[at:end]
+        if len(part) < LEAST_MARKOV:
+            continue
+        if _mixed(part) and pair.llr(part) >= min_llr:
+            out.append((at, end))
+            continue
+        s, e, total = pair.best(part, LEAST_MARKOV, min_llr)
+        if total < 0:
+            continue
+        if _mixed(part[s:e]):
+            s, e = _fitted(part, s, e)
+            out.append((at + s, at + e))
+        todo += [(at, at + s), (at + e, end)]
+    return sorted(out)
+
+
 def markov_spans(text: str, base: list[tuple[int, int, int]], pair: MarkovPair, min_llr: float) -> list[tuple[int, int, int]]:
-    """Candidates clear of every base span, with both letters and digits, that the random model explains better."""
+    """Candidates clear of every base span, or segments of them, with both letters and digits, that the random model
+    explains better."""
     out, at = [], 0
     cover = sorted((s, e) for s, _, e in base)
     for m in CANDIDATE.finditer(text):
@@ -130,9 +189,7 @@ def markov_spans(text: str, base: list[tuple[int, int, int]], pair: MarkovPair,
             at += 1
         if at < len(cover) and cover[at][0] < e:
             continue
-        word = m[0]
-        if any(c.isdigit() for c in word) and any(c.isalpha() for c in word) and pair.llr(word) >= min_llr:
-            out.append((s, 3, e))
+        out += [(s + x, 3, s + y) for x, y in _judged(m[0], pair, min_llr)]
     return out
 
 
