@@ -3,7 +3,8 @@
 Two character models of order one are trained from labelled samples: one from random strings, one from ordinary
 identifiers. A candidate string that no base pattern covers is reported when the random model explains it better
 than the ordinary one by at least ``min_llr`` nats a character on average; of a candidate that falls short as a whole,
-as a token in a path does, the segments of at least 16 characters that don't.
+as a token in a path does, the segments of at least 16 characters that don't. Letters alone or digits alone need 0.4
+more; digits alone never reach it, as the ratio takes them for numbers. Base spans are cut out of candidates first.
 
 Defined results: a null text counts as empty and has no spans; an empty text has none; repeated rows each return
 their own row; an empty table returns no rows; extra columns are ignored (the operator reads an id and a text column
@@ -40,6 +41,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST_MARKOV = 16
 #: What parts of a candidate end at, and how many characters of a part are stray.
 DELIMITERS, STRAY = "/_=-", 4
+#: What letters alone or digits alone must have above the least ratio.
+ONE_CLASS = 0.4
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 #: Parts that ordinary identifiers are built of.
@@ -152,8 +155,9 @@ def _fitted(word: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-def _mixed(word: str) -> bool:
-    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+def _needed(word: str, min_llr: float) -> float:
+    """The least mean ratio: more for a string of letters alone or digits alone, which text has more of."""
+    return min_llr + (0.0 if any(c.isdigit() for c in word) and any(c.isalpha() for c in word) else ONE_CLASS)
 
 
 def _judged(word: str, pair: MarkovPair, min_llr: float) -> list[tuple[int, int]]:
@@ -165,13 +169,16 @@ def _judged(word: str, pair: MarkovPair, min_llr: float) -> list[tuple[int, int]
         part = word[at:end]
         if len(part) < LEAST_MARKOV:
             continue
-        if _mixed(part) and pair.llr(part) >= min_llr:
+        if pair.llr(part) >= _needed(part, min_llr):
             out.append((at, end))
             continue
         s, e, total = pair.best(part, LEAST_MARKOV, min_llr)
         if total < 0:
             continue
-        if _mixed(part[s:e]):
+        if pair.llr(part[s:e]) < _needed(part[s:e], min_llr):  # letters or digits alone: is a segment of it clear enough?
+            x, y, total = pair.best(part[s:e], LEAST_MARKOV, min_llr + ONE_CLASS)
+            s, e = (s + x, s + y) if total >= 0 else (s, e)
+        if total >= 0:
             s, e = _fitted(part, s, e)
             out.append((at + s, at + e))
         todo += [(at, at + s), (at + e, end)]
@@ -179,17 +186,24 @@ def _judged(word: str, pair: MarkovPair, min_llr: float) -> list[tuple[int, int]
 
 
 def markov_spans(text: str, base: list[tuple[int, int, int]], pair: MarkovPair, min_llr: float) -> list[tuple[int, int, int]]:
-    """Candidates clear of every base span, or segments of them, with both letters and digits, that the random model
-    explains better."""
+    """What base spans leave of the candidates, or segments of it, that the random model explains better."""
     out, at = [], 0
-    cover = sorted((s, e) for s, _, e in base)
+    cover: list[list[int]] = []
+    for s, _, e in sorted(base):
+        if cover and s <= cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], e)
+        else:
+            cover.append([s, e])
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
+        s, end = m.span()
         while at < len(cover) and cover[at][1] <= s:
             at += 1
-        if at < len(cover) and cover[at][0] < e:
-            continue
-        out += [(s + x, 3, s + y) for x, y in _judged(m[0], pair, min_llr)]
+        k = at
+        while s < end:
+            e = min(cover[k][0], end) if k < len(cover) else end
+            out += [(s + x, 3, s + y) for x, y in _judged(text[s:e], pair, min_llr)]
+            s = cover[k][1] if k < len(cover) else end
+            k += 1
     return out
 
 

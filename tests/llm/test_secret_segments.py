@@ -37,3 +37,18 @@ def test_ordinary_paths_and_identifiers_have_none():
         for _ in range(500):
             word = join.join(rng.choices(S.WORDS, k=rng.randint(4, 9))) + str(rng.randint(0, 9999))
             assert found(word) == []
+
+
+def test_random_letters_alone_are_found_and_ordinary_ones_not():
+    rng = random.Random(6)
+    assert sum(found("".join(rng.choices(string.ascii_letters, k=32))) == [(0, 32)] for _ in range(200)) > 180
+    for _ in range(1000):
+        words = rng.choices(S.WORDS, k=rng.randint(3, 7))
+        assert found("".join(words)) == [] and found("".join(w.capitalize() for w in words)) == []
+
+
+def test_what_a_base_span_leaves_is_judged():
+    text = "qZ8xT2vLpW9rK4mN7bYc/token=abcdefghijklmnop"
+    assert [text[s:e] for s, _, e in S.base_spans(text)] == ["token=abcdefghijklmnop"]
+    assert [text[s:e].rstrip("/") for s, e in found(text)] == ["qZ8xT2vLpW9rK4mN7bYc"]
+    assert found("token=abcdefghijklmnop") == []
