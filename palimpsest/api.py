@@ -79,7 +79,7 @@ class Index:
         fresh = upsert.changed(part("conversations"), incoming).where("changed").select("conversation_id")
         parents = incoming.select("conversation_id")
         n, m = incoming.count(), messages.count()
-        report = {"archive_path": label, "conversations_indexed": n, "messages_indexed": m, "errors": errors}
+        report = {"archive_path": label, "conversations_indexed": n, "messages_indexed": m, "errors": errors, "errors_total": clashing.count()}
         run = {"id": self._next_id("runs"), "run_kind": kind, "archive_path": label, "status": "failed" if errors else "complete", "counters_json": json.dumps(report), "notes_json": json.dumps({"error": errors[0]} if errors else {})}
         changes = {
             "conversations": upsert.upsert(part("conversations"), incoming),

@@ -72,8 +72,8 @@ def sync(index: Index, provider: str, roots: list[str], initial_since: str = INI
 
 
 def import_files(index: Index, provider: str, roots: list[str], cutoff: float | None = None, by_modified: bool = False, skip_existing: bool = False) -> dict:
-    """One pass over a provider's files: parse errors are reported, the rest is written, the index is built again if
-    anything was."""
+    """One pass over a provider's files: parse errors are counted and the first 1,000 listed, the rest is written, the
+    index is built again if anything was."""
     spark, own = index.spark, providers.PROVIDERS[provider]
     found = providers.files(spark, roots, own)
     n_found = found.select("path").count()
@@ -84,7 +84,9 @@ def import_files(index: Index, provider: str, roots: list[str], cutoff: float |
         found = found.withColumn("key", providers.rollout_id(F.col("path"))).join(known, "key", "left_anti")
     rows = providers.since(providers.parsed(found, own), cutoff).persist()
     try:
-        errors = [r["error"] for r in rows.where(F.col("error").isNotNull()).orderBy("path").limit(1000).select("error").collect()]
+        failed = rows.where(F.col("error").isNotNull())
+        n_failed = failed.count()
+        errors = [r["error"] for r in failed.orderBy("path").limit(1000).select("error").collect()]
         good = rows.where(F.col("conversation").isNotNull()).select("conversation.*")
         report = index.import_normalized(good, f"{provider}-files", reindex=False)
     finally:
@@ -92,7 +94,7 @@ def import_files(index: Index, provider: str, roots: list[str], cutoff: float |
     if report["conversations_indexed"]:
         index.reindex()
     done = report["conversations_indexed"]
-    return {"files_discovered": n_found, "conversations_indexed": done, "messages_indexed": report["messages_indexed"], "skipped": max(0, n_found - done - len(errors)), "errors": errors + report["errors"]}
+    return {"files_discovered": n_found, "conversations_indexed": done, "messages_indexed": report["messages_indexed"], "skipped": max(0, n_found - done - n_failed), "errors": errors + report["errors"], "errors_total": n_failed + report["errors_total"]}
 
 
 def stream_normalized(index: Index, folder: str, checkpoint: str, files_per_trigger: int = 100):
