@@ -1,16 +1,16 @@
-"""Substring dedup: a relative Lempel-Ziv parse of every document against blocks of reference text.
+"""Substring dedup: counting of anchored windows, in place of a relative Lempel-Ziv parse.
 
-A factor is a run of words of a document that also stands in a reference block; factors of at least ``window`` words are
-duplicate spans. To parse every document against every block would grow with the square of the corpus, so blocks are
-indexed by anchors: of the ``gram``-word sequences in a window, the one of least hash. Equal windows choose the same
-anchor at the same place, so a factor can only come from blocks of the same anchor. Successive windows that choose the
-same occurrence form a passage, the unit of the index:
+A run of at least ``window`` words that occurs more than once is a duplicate span. To parse every document greedily
+against every block of reference text would grow with the square of the corpus, so no document is parsed into factors.
+Windows are indexed by anchors instead: of the ``gram``-word sequences in a window, the one of least hash. Equal windows
+choose the same anchor at the same place, so only windows of the same anchor can be equal. Successive windows that choose
+the same occurrence form a passage, the unit of the index:
 
 1. Passages are counted by anchor, with partial aggregation. Anchors met once can't yield a factor; most text ends here.
-2. Where all passages of an anchor are equal, each is a factor as it stands. So is a passage that occurs twice.
-3. The other anchors' different passages are the reference blocks, one copy of each. They are expanded to hashes of
-   their windows, counted by anchor and window, which settles at each factor's border how far it goes.
-4. A document's factors are joined, window by window, and their words removed.
+2. Where all passages of an anchor are equal, each is a duplicate as it stands. So is a passage that occurs twice.
+3. The other anchors' different passages, one copy of each, are expanded to hashes of their windows, counted by anchor
+   and window, which settles at each span's border how far it goes.
+4. A document's marked windows are joined to spans where they meet, and their words removed.
 
 Every step is linear in the text, and each key that one passage or window can heat is either aggregated before it is
 shuffled or one side of a join that adaptive execution can split. Anchor and window hashes have 64 bits each and must
