@@ -7,8 +7,12 @@ capacities used here (row counts that differ by one at most and add up to all ro
 only the overflow leaves its home.
 
 Which part of which position goes where depends on the positions' counts alone: ``CELLS`` numbers, whatever the
-size of the input. So the counts, from a pass that reads no text, become a plan of about as many segments; ranks
-within positions (one shuffle of narrow rows) and a lookup of the segment give each row its shard and slot.
+size of the input. So the counts, from a table of narrow rows, become a plan of about as many segments; ranks within
+positions and a lookup of the segment give each row its shard and slot.
+
+Rows that are equal in key, size and checksum are counted together before they are ranked, by ``PLACES`` places of
+their own, and a position is ranked in ``SALTS`` parts by content. So a key or a row that holds a third of all rows is
+never one task's work, and ranks of different rows don't depend on the input's partitions.
 
 Defined results: a null text has no bytes; rows with a null key are spread by their other columns but the text; rows that
 are equal in key are told apart by size and checksum, wholly equal rows are interchangeable; an empty table gives no
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm import _common
 
 #: Positions on the ring; also the bound of what the driver holds.
-CELLS = 4096
+CELLS = 16384
+#: Parts of a position that are ranked apart, and places that equal rows are dealt to.
+SALTS, PLACES = 16, 4096
 
 
 def ring(spark: SparkSession, shards: int, virtual: int) -> list[int]:
@@ -86,22 +92,32 @@ def position(docs: DataFrame, key: str, text: str) -> Column:
     return F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(key)), spread)
 
 
-def shard(docs: DataFrame, shards: int = 8, virtual: int = 64, key: str = "doc_id", text: str = "text", epsilon: float = 0.0) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, virtual: int = 512, key: str = "doc_id", text: str = "text", epsilon: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: slots are gapless from 0 in each shard."""
     spark = docs.sparkSession
-    placed = docs.withColumn("__hash", position(docs, key, text)).withColumn("__cell", F.pmod(F.col("__hash"), F.lit(CELLS)).cast("int"))
-    tally = {r["__cell"]: r["n"] for r in placed.groupBy("__cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
+    body, own = F.coalesce(F.col(text).cast("string"), F.lit("")), ["doc_id", "size", "text_crc32", "hash"]
+    narrow = docs.select(
+        F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), position(docs, key, text).alias("hash"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(PLACES)).cast("int").alias("place"),
+    )
+    groups = narrow.groupBy(*own, "place").agg(F.count("*").alias("n"))
+    groups = _common.checkpoint(groups.withColumns({"cell": F.pmod("hash", F.lit(CELLS)).cast("int"), "salt": F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")}))
+    parts = groups.groupBy("cell", "salt").agg(F.sum("n").alias("m"))
+    tally = {r["cell"]: r["m"] for r in parts.groupBy("cell").agg(F.sum("m").alias("m")).collect()}  # CELLS rows at most
     counts = [tally.get(cell, 0) for cell in range(CELLS)]
-    parts = plan(counts, ring(spark, shards, virtual), capacities(sum(counts), shards, epsilon))
+    runs = plan(counts, ring(spark, shards, virtual), capacities(sum(counts), shards, epsilon))
     schema = "array<struct<cell:int,lo:bigint,hi:bigint,shard:int,first:bigint>>"
-    segments = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(("cell", "lo", "hi", "shard", "first"), p, strict=True)) for p in parts])), schema)))
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    narrow = placed.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), "__hash", "__cell")
-    order = Window.partitionBy("__cell").orderBy("__hash", "doc_id", "text_crc32", "size")
-    ranked = narrow.withColumn("__rank", F.row_number().over(order) - 1)
-    hit = (F.col("__cell") == F.col("cell")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi"))
-    return ranked.join(F.broadcast(segments), hit).select(  # the segments' number is bounded by CELLS and the shards
-        "doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("first") + F.col("__rank") - F.col("lo")).cast("long").alias("slot")
+    segments = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(("cell", "lo", "hi", "shard", "first"), p, strict=True)) for p in runs])), schema)))
+    before = lambda by, n, *order: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = parts.select("cell", "salt", before(["cell"], "m", "salt").alias("base"))
+    ranked = groups.withColumn("within", before(["cell", "salt"], "n", *own[::-1], "place")).join(F.broadcast(base), ["cell", "salt"])  # CELLS * SALTS rows at most
+    start = F.col("base") + F.col("within")
+    # equal rows go apart again before they are written out one by one
+    rows = ranked.repartition("place", "hash").select(*own[:3], "cell", F.explode(F.sequence(start, start + F.col("n") - 1)).alias("rank"))
+    segments = segments.select(F.col("cell").alias("at"), "lo", "hi", "shard", "first")
+    hit = (F.col("cell") == F.col("at")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    return rows.join(F.broadcast(segments), hit).select(  # the segments' number is bounded by CELLS and the shards
+        *own[:3], F.col("shard").cast("int").alias("shard"), (F.col("first") + F.col("rank") - F.col("lo")).cast("long").alias("slot")
     )
 
 

@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from palimpsest.llm import sharding as S
 
 
@@ -57,7 +59,9 @@ def test_movement_is_limited(spark, frame):
     rows = [(i, "x") for i in range(4000)]
     a = {r.doc_id: r.shard for r in S.shard(frame(rows, extra=False), 8).collect()}
     b = {r.doc_id: r.shard for r in S.shard(frame(rows, extra=False), 9).collect()}
-    assert sum(a[i] != b[i] for i in a) < 0.45 * len(a)  # hashing anew would move 8 of 9
+    moved = sum(a[i] != b[i] for i in a) / len(a)
+    print("moved", moved)
+    assert moved < 0.25  # 1/9 is the least there can be, as counts may differ by one only; hashing anew would move 8/9
 
 
 def test_loose_bounds_leave_more_keys_at_home(spark):
@@ -66,3 +70,34 @@ def test_loose_bounds_leave_more_keys_at_home(spark):
     assert len(owner) == S.CELLS and set(owner) == set(range(8))
     nine = S.ring(spark, 9, 64)
     assert all(y == 8 or x == y for x, y in zip(owner, nine, strict=True))  # a new shard only takes
+
+
+def test_whole_query_equals_a_walk_of_the_ring(spark, frame, corpus):
+    """Row by row: each position's rows, in the order of its parts, go home while there is room, then on clockwise."""
+    rows = corpus + [(77, "hot")] * 300 + [(78, f"hot {i}") for i in range(200)]  # one row and one key with many rows
+    got = S.shard(frame(rows), virtual=64).collect()
+    owner, room = S.ring(spark, 8, 64), S.capacities(len(rows), 8)
+    cells = Counter(r.cell for r in frame(rows).select((F.pmod(F.xxhash64("doc_id"), F.lit(S.CELLS))).alias("cell")).collect())
+    load, over = Counter(), []
+    for cell in sorted(cells):
+        stay = min(cells[cell], room[owner[cell]] - load[owner[cell]])
+        load[owner[cell]] += stay
+        over.append((cell, cells[cell] - stay))
+    home = load.copy()
+    for cell, n in over:
+        at = cell
+        for _ in range(n):
+            at = (at + 1) % S.CELLS
+            while load[owner[at]] == room[owner[at]]:
+                at = (at + 1) % S.CELLS
+            load[owner[at]] += 1
+            at -= 1
+    assert load == Counter(r.shard for r in got)
+    by = {r.doc_id: owner[r.cell] for r in frame(rows).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(S.CELLS)).alias("cell")).collect()}
+    assert sum(by[r.doc_id] == r.shard for r in got) >= sum(home.values())
+    assert sorted((r.doc_id, r.size) for r in got if r.doc_id is not None) == sorted((i, len((t or "").encode()) + 1) for i, t in rows if i is not None)
+
+
+def test_clashing_columns(frame):
+    clash = frame([(1, "a"), (2, "b")]).withColumns({c: F.lit("x") for c in ("hash", "cell", "salt", "place", "n", "rank", "shard", "slot", "at")})
+    assert S.shard(clash).columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
