@@ -1,23 +1,27 @@
-"""Substring dedup: counting of anchored windows, in place of a relative Lempel-Ziv parse.
-
-A run of at least ``window`` words that occurs more than once is a duplicate span. To parse every document greedily
-against every block of reference text would grow with the square of the corpus, so no document is parsed into factors.
-Windows are indexed by anchors instead: of the ``gram``-word sequences in a window, the one of least hash. Equal windows
-choose the same anchor at the same place, so only windows of the same anchor can be equal. Successive windows that choose
-the same occurrence form a passage, the unit of the index:
-
-1. Passages are counted by anchor, with partial aggregation. Anchors met once can't yield a factor; most text ends here.
-2. Where all passages of an anchor are equal, each is a duplicate as it stands. So is a passage that occurs twice.
-3. The other anchors' different passages, one copy of each, are expanded to hashes of their windows, counted by anchor
-   and window, which settles at each span's border how far it goes.
-4. A document's marked windows are joined to spans where they meet, and their words removed.
-
-Every step is linear in the text, and each key that one passage or window can heat is either aggregated before it is
-shuffled or one side of a join that adaptive execution can split. Anchor and window hashes have 64 bits each and must
-agree both.
+"""Substring dedup by a relative Lempel-Ziv parse against the corpus's reference blocks.
+
+The reference is the corpus itself as one long string of words; a word's address in it is its document's address and its
+place there. Documents are parsed greedily into factors (start, length, reference address): runs of words that the
+reference also has, as far as they go on there, at its first such place (its last, for the first itself). Only factors of at least ``window`` words count, and they become
+duplicate spans. Parsing against every block would grow with the square of the corpus, so blocks are indexed by anchors:
+of the ``gram``-word sequences in a window, the one of least hash. Equal windows choose the same anchor at the same
+place, so only blocks of the same anchor can hold a match. Successive windows that choose the same occurrence form a
+passage, the block of the index:
+
+1. Blocks are counted by anchor, with partial aggregation. Anchors met once can't yield a factor; most text ends here.
+2. Where all blocks of an anchor are equal, each matches the first as a whole (and the first the last). So does a block
+   that occurs twice.
+3. The other anchors' different blocks, one copy of each, are expanded to seeds, the hashes of their windows, and matched
+   by anchor and seed: at a factor's border this settles how far the match goes.
+4. A document's matches are parsed in order: a factor goes on as long as the next window matches the next place of the
+   reference, and ends where it doesn't. The windows across the border of two factors are seeds of their own.
+
+Every step is linear in the text, and each key that one block or seed can heat is either aggregated before it is
+shuffled or one side of a join that adaptive execution can split. Blocks and seeds are compared by 64-bit hashes within
+their anchor's, so two different windows of one anchor count as equal with a chance of 1 in 2^64.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; repeated rows are duplicates of
-each other; an empty table gives no rows; extra columns are ignored; long texts are parsed whole.
+each other; an empty table gives no rows; extra columns are ignored, whatever their names; long texts are parsed whole.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,8 @@ from palimpsest.llm import _common
 WINDOW, GRAM = 35, 5
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
+#: Bits of an address below its input partition's number.
+ADDRESS_BITS = 40
 _POWERS: list[np.ndarray] = []
 
 
@@ -104,86 +111,106 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(id_col).alias("k"), F.xxhash64(body).alias("t"), body.alias("text"))
 
 
-def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def _blocks(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """The reference's blocks: address, first window and windows in the document, anchor hash, block hash. Each document
+    also has a row of its own without windows, with its key (k, t)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        address = TaskContext.get().partitionId() << ADDRESS_BITS
+        names = ["at", "first", "size", "h", "ph", "k", "t"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         for batch in _common.slices(batches):
-            parts, counts = [], []
+            parts, counts, base = [], [], []
             for text in batch.column(2).to_pylist():
-                parts.append(passages(text.encode().split(), window, gram))
+                words = text.encode().split()
+                parts.append(passages(words, window, gram))
                 counts.append(len(parts[-1][0]))
-            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+                base.append(address)
+                address += len(words) + 1
             first, size, h, ph = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(ph, pa.int64())],
-                names=["k", "t", "first", "size", "h", "ph"],
-            )
+            n, base = len(counts), np.array(base, np.int64)
+            at = np.concatenate([base, np.repeat(base, counts) + first])
+            head, tail = np.zeros(n, np.int64), pa.nulls(len(first), pa.int64())
+            own = [pa.concat_arrays([batch.column(i), tail]) for i in (0, 1)]
+            values = [at, np.concatenate([head, first]), np.concatenate([head, size])]
+            hashes = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (h, ph)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, kind) for v, kind in zip(values, kinds, strict=False)), *hashes, *own], names=names)
 
-    return docs.mapInArrow(run, "k long, t long, first int, size int, h long, ph long")
+    return texts.mapInArrow(run, "at long, first int, size int, h long, ph long, k long, t long")
 
 
-def _windows(marked: DataFrame, window: int) -> DataFrame:
-    """The windows of the reference blocks. marked: k, t, text, blocks of (first, size, h, c)."""
+def _seeds(marked: DataFrame, window: int) -> DataFrame:
+    """The windows of reference blocks. marked: text, blocks of (at, other, first, size, h, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "wh", "weight", "k", "t", "first", "bit"]
+        names = ["h", "wh", "weight", "at", "other", "first", "bit"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         for batch in _common.slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in names]
-            for k, t, text, blocks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for text, blocks in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 hashes = WordHashes(text.encode().split())
-                first, size = np.array([b["first"] for b in blocks]), np.array([b["size"] for b in blocks])
+                of = lambda c: np.array([b[c] for b in blocks])  # noqa: B023, E731
+                first, size = of("first"), of("size")
                 bit = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                start = np.repeat(first, size)
-                values = (
-                    np.repeat(np.array([b["h"] for b in blocks]), size),
-                    hashes.of(start + bit, window).view(np.int64),
-                    np.repeat(np.array([min(b["c"], 2) for b in blocks]), size),
-                    np.full(len(start), k),
-                    np.full(len(start), t),
-                    start,
-                    bit,
-                )
+                spread = lambda x: np.repeat(x, size)  # noqa: B023, E731
+                values = (spread(of("h")), hashes.of(spread(first) + bit, window).view(np.int64), spread(np.minimum(of("c"), 2)), spread(of("at")), spread(of("other")), spread(first), bit)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(out, kinds, strict=True)], names=names)
 
-    return marked.mapInArrow(run, "h long, wh long, weight int, k long, t long, first int, bit int")
+    return marked.mapInArrow(run, "h long, wh long, weight int, at long, other long, first int, bit int")
+
 
+def _other(own, low, high):
+    """Of the first and last address of equal words, one that isn't the words' own."""
+    return F.when(own != low, low).otherwise(high)
 
-def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """k, t, marks: for each row key with duplicates, (first window, bits of the windows after it that are duplicates)."""
+
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """k, t, address, marks: for each row key with duplicates its address and (first window, bits of the windows from
+    there that the reference also has, how far from them it has them)."""
     spark = docs.sparkSession
     _common.prepare(spark)
     if window - gram + 1 > 62:
         raise ValueError("a passage's windows must fit the bits of a long")
     texts = _keyed(docs, id_col, text_col)
-    index, drop_index = _common.stored(_anchors(texts, window, gram))
-    anchors = index.groupBy("h").agg(F.count("*").alias("n"), F.min("ph").alias("low"), F.max("ph").alias("high")).where(F.col("n") > 1)
-    anchors = _common.checkpoint(anchors.select("h", (F.col("low") != F.col("high")).alias("mixed")))
+    index, drop_index = _common.stored(_blocks(texts, window, gram))
+    own = _common.checkpoint(index.where("size = 0").groupBy("k", "t").agg(F.min("at").alias("d")))  # repeated rows share the first's address
+    index = index.where("size > 0").select("at", "first", "size", "h", "ph")
+    anchors = index.groupBy("h").agg(F.count("*").alias("n"), F.min("ph").alias("p"), F.max("ph").alias("q"), F.min("at").alias("low"), F.max("at").alias("high")).where("n > 1")
+    anchors = _common.checkpoint(anchors.select("h", (F.col("p") != F.col("q")).alias("mixed"), "low", "high"))
     _common.release(spark)
-    met, drop_met = _common.stored(index.join(anchors, "h"))
+    met = index.join(anchors, "h")
+    part = lambda c: F.when(F.col("mixed"), F.col(c)).alias(c)
+    met, drop_met = _common.stored(met.select("at", "first", "size", part("h"), part("ph"), F.when(~F.col("mixed"), _other(F.col("at"), F.col("low"), F.col("high"))).alias("source")))
     drop_index()
     del index, anchors
     _common.release(spark)
 
-    uid = F.xxhash64("k", "t", "first")
-    mixed = met.where("mixed")
-    blocks = _common.checkpoint(mixed.groupBy("h", "ph").agg(F.count("*").alias("c"), F.min(uid).alias("copy")))
-    mixed = _common.checkpoint(mixed.join(blocks, ["h", "ph"]).select("k", "t", "first", "size", "h", "c", (uid == F.col("copy")).alias("one")))
+    mixed = met.where("h is not null").select("at", "first", "size", "h", "ph")
+    blocks = _common.checkpoint(mixed.groupBy("h", "ph").agg(F.count("*").alias("c"), F.min("at").alias("low"), F.max("at").alias("high")))
+    mixed = _common.checkpoint(mixed.join(blocks, ["h", "ph"]).drop("ph"))
     del blocks
     _common.release(spark)
-    wanted = _common.checkpoint(mixed.where("one").groupBy("k", "t").agg(F.collect_list(F.struct("first", "size", "h", "c")).alias("blocks")))  # at most a document's windows
+    document = (F.col("at") - F.col("first")).alias("d")
+    wanted = mixed.where("at = low").groupBy(document).agg(F.collect_list(F.struct("at", F.col("high").alias("other"), "first", "size", "h", "c")).alias("blocks"))  # at most a document's windows
+    wanted = _common.checkpoint(wanted.join(own, "d").drop("d"))
     _common.release(spark)
-    expanded, drop_expanded = _common.stored(_windows(texts.join(wanted, ["k", "t"]).select("k", "t", "text", "blocks"), window))
+    # of repeated rows one text is enough
+    expanded = texts.join(wanted, ["k", "t"]).groupBy("k", "t").agg(F.first("text").alias("text"), F.first("blocks").alias("blocks"))
+    expanded, drop_expanded = _common.stored(_seeds(expanded.select("text", "blocks"), window))
     del wanted
     _common.release(spark)
-    twice = _common.checkpoint(expanded.groupBy("h", "wh").agg(F.sum("weight").alias("n")).where(F.col("n") > 1).select("h", "wh"))
-    border = expanded.where("weight = 1").join(twice, ["h", "wh"]).select("k", "t", "first", F.expr("shiftleft(1L, bit)").alias("bits"))
-
-    every = F.expr("shiftleft(1L, size) - 1").alias("bits")
-    whole = met.where("not mixed").select("k", "t", "first", every).unionByName(mixed.where("c > 1").select("k", "t", "first", every))
-    marks = whole.unionByName(border).groupBy("k", "t", "first").agg(F.bit_or("bits").alias("bits"))
-    marks = _common.checkpoint(marks.groupBy("k", "t").agg(F.collect_list(F.struct("first", "bits")).alias("marks")))
+    here = F.col("at") + F.col("bit")
+    twice = expanded.groupBy("h", "wh").agg(F.sum("weight").alias("n"), F.min(here).alias("low"), F.max(F.col("other") + F.col("bit")).alias("high"))
+    twice = _common.checkpoint(twice.where("n > 1").drop("n"))
+    border = expanded.where("weight = 1").join(twice, ["h", "wh"]).select(document, "first", F.expr("shiftleft(1L, bit)").alias("bits"), (_other(here, F.col("low"), F.col("high")) - here).alias("away"))
+
+    every = lambda source: (document, "first", F.expr("shiftleft(1L, size) - 1").alias("bits"), (source - F.col("at")).alias("away"))
+    whole = met.where("source is not null").select(*every(F.col("source"))).unionByName(mixed.where("c > 1").select(*every(_other(F.col("at"), F.col("low"), F.col("high")))))
+    marks = whole.unionByName(border).repartition("d").groupBy("d", "first", "away").agg(F.bit_or("bits").alias("bits"))
+    marks = marks.groupBy("d").agg(F.collect_list(F.struct("first", "bits", "away")).alias("marks"))  # at most a document's windows
+    marks = _common.checkpoint(marks.join(own, "d").select("k", "t", F.col("d").alias("address"), "marks"))
     drop_met()
     drop_expanded()
     del met, mixed, expanded, twice, border, whole
@@ -191,17 +218,29 @@ def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return marks
 
 
-def factors(marks: list[dict] | None, n_words: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Duplicate spans as (first word, end), joined where they meet."""
+def factors(marks: list[dict] | None, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(first word, words, distance to the same words in the reference) of the greedy parse, in order. A factor goes on
+    while the next window matches the reference's next place; factors may share the words of windows at their border."""
     if not marks:
         return []
-    starts = sorted({m["first"] + i for m in marks for i in range(m["bits"].bit_length()) if m["bits"] >> i & 1})
+    windows = sorted((m["first"] + i, m["away"]) for m in marks for i in range(m["bits"].bit_length()) if m["bits"] >> i & 1)
+    out: list[list[int]] = []
+    for start, away in windows:
+        if out and start == out[-1][0] + out[-1][1] - window + 1 and away == out[-1][2]:
+            out[-1][1] += 1
+        else:
+            out.append([start, window, away])
+    return [tuple(x) for x in out]
+
+
+def spans_of(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Duplicate spans as (first word, end): factors joined where they meet."""
     out: list[tuple[int, int]] = []
-    for s in starts:
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + window)
+    for start, n, _ in found:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], start + n)
         else:
-            out.append((s, s + window))
+            out.append((start, start + n))
     return out
 
 
@@ -214,48 +253,52 @@ def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, spans of every row."""
-    marks = duplicate_windows(docs, id_col, text_col, window, gram)
+    """doc_id, n_words, n_removed, kept_sha256, spans, factors (start:words:reference address) and address of every row;
+    a document without factors has no address."""
+    marks = matches(docs, id_col, text_col, window, gram)
     id_type = dict(docs.dtypes)[id_col]
     body = _common.text_or_empty(text_col)
     keyed = docs.select(F.col(id_col).alias("doc_id"), body.alias("text"), F.xxhash64(id_col).alias("k"), F.xxhash64(body).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.slices(batches):
-            n, gone, digest, all_spans = [], [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            n, gone, digest, all_spans, parsed = [], [], [], [], []
+            for text, found, address in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 words = text.encode().split()
-                spans = factors(found, len(words), window)
+                own = factors(found, window)
+                spans = spans_of(own)
                 n.append(len(words))
                 gone.append(sum(e - s for s, e in spans))
                 digest.append(hashlib.sha256(b" ".join(_kept(words, spans))).hexdigest())
                 all_spans.append(",".join(f"{s}:{e}" for s, e in spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(all_spans)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+                parsed.append(",".join(f"{s}:{size}:{address + s + away}" for s, size, away in own))
+            values = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), *(pa.array(x, pa.string()) for x in (digest, all_spans, parsed))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values, batch.column(3)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "factors", "address"])
 
-    return keyed.join(marks, ["k", "t"], "left").select("doc_id", "text", "marks").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, spans string")
+    kinds = f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, spans string, factors string, address long"
+    return keyed.join(marks, ["k", "t"], "left").select("doc_id", "text", "marks", "address").mapInArrow(run, kinds)
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with the words of duplicate spans removed: the kept words joined by spaces. Texts without such spans, and all
     other columns, stay as they are."""
-    marks = duplicate_windows(docs, id_col, text_col, window, gram).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("marks").alias("__marks"))
+    marks = matches(docs, id_col, text_col, window, gram).select("k", "t", "marks")
     body = _common.text_or_empty(text_col)
-    joined = docs.withColumns({"__a": F.xxhash64(id_col), "__b": F.xxhash64(body)}).join(marks, (F.col("__a") == F.col("__k")) & (F.col("__b") == F.col("__t")), "left")
     names, at, schema = docs.columns, docs.columns.index(text_col), docs.schema
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(id_col).alias("k"), F.xxhash64(body).alias("t"))  # whatever the columns' names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.slices(batches):
-            out = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            out, columns = [], batch.column(0).flatten()
+            for text, found in zip(columns[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if found:
                     words = text.encode().split()
-                    text = b" ".join(_kept(words, factors(found, len(words), window))).decode()
+                    text = b" ".join(_kept(words, spans_of(factors(found, window)))).decode()
                 out.append(text)
-            columns = batch.columns[: len(names)]
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__marks").mapInArrow(run, schema)
+    return rows.join(marks, ["k", "t"], "left").select("row", "marks").mapInArrow(run, schema)
 
 
 def op9_relative_lempel_ziv_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

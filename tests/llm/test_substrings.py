@@ -58,3 +58,33 @@ def test_passages_tile_the_windows():
     words = [str(rng.randrange(5)).encode() for _ in range(500)]
     first, size, _, _ = S.passages(words)
     assert first[0] == 0 and (first[1:] == first[:-1] + size[:-1]).all() and first[-1] + size[-1] == 500 - 34 and size.max() <= 31
+
+
+def test_factors_are_matches_in_the_reference(frame, corpus):
+    """Each factor's words stand at its reference address too, it is as long as its match there goes on, and every
+    duplicate window lies in a factor."""
+    rows = [(i, t) for i, t in corpus if i != 6]
+    got = S.dedup(frame(rows)).collect()
+    split = {r.doc_id: (dict(rows)[r.doc_id] or "").encode().split() for r in got}
+    word_at = {r.address + i: w for r in got if r.address is not None for i, w in enumerate(split[r.doc_id])}
+    seen = 0
+    for r in got:
+        for start, n, at in (tuple(map(int, f.split(":"))) for f in r.factors.split(",") if f):
+            assert n >= 35 and at != r.address + start
+            assert split[r.doc_id][start : start + n] == [word_at[at + i] for i in range(n)]
+            seen += 1
+        covered = {i for f in r.factors.split(",") if f for i in range(int(f.split(":")[0]), int(f.split(":")[0]) + int(f.split(":")[1]))}
+        assert len(covered) == r.n_removed
+    assert seen > 10
+    long = next(r for r in got if r.doc_id == 201)
+    assert len(long.factors.split(",")) < 10  # a copy of thousands of words is few factors
+
+
+def test_clashing_columns_and_string_ids(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a", "w " * 40, 1), ("b", "v", 2), (None, "w " * 40, 3)], "doc_id string, text string, n long")
+    df = df.withColumns({c: F.lit("x") for c in ("__a", "__b", "__k", "__t", "__marks", "row", "k", "t", "marks", "at", "h", "d")})
+    got = S.without_duplicates(df)
+    assert got.columns == df.columns and sorted((r.n, r.text, r["row"]) for r in got.collect()) == [(1, "", "x"), (2, "v", "x"), (3, "", "x")]
+    assert sorted(r.n_removed for r in S.dedup(df).collect()) == [0, 40, 40]
