@@ -5,11 +5,12 @@ validator then confirms structure and gives the length, from the format's own fi
 structure behind it doesn't count. So declared types are corrected, and media that lie inside other bytes are carved out
 whole, with their offset.
 
-The corpus query stores each text's bytes as an 8-bit PCM WAV, sniffs and carves the stored bytes, reads the samples back
-and describes them.
+The corpus query takes each text's bytes, declared as plain text, for a payload: what it really is is sniffed, and media
+that lie within it are carved. It is stored as an 8-bit PCM WAV under no more than a general type, which sniffing
+corrects; the samples are then read back and described.
 
 Defined results: null bytes (or a null text) count as empty; a value that no validator confirms keeps its declared type
-and is marked unconfirmed; repeated rows return each, equal values give equal results; an empty table gives no rows;
+and is marked unconfirmed; of formats that a value can end in more than one place, the first confirmed end counts; repeated rows return each, equal values give equal results; an empty table gives no rows;
 extra columns are ignored; long values are read whole.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -147,36 +149,152 @@ def _gzip(b: bytes, at: int) -> int | None:
     return min(i, len(b)) - at - len(unzip.unused_data) if unzip.eof else None
 
 
+class _Marks:
+    """Places of a value that validators look up instead of searching on from every magic number: found once a value."""
+
+    value: bytes | None = None
+
+    def of(self, b: bytes) -> _Marks:
+        if self.value is not b:
+            self.value, self.archives, self.ends, self.starts = b, {}, _places(b, b"%%EOF"), _places(b, b"startxref")
+            for end in _places(b, b"PK\x05\x06"):
+                if end + 22 <= len(b):
+                    size, start, note = struct.unpack_from("<IIH", b, end + 12)
+                    at = end - size - start
+                    if at >= 0 and at not in self.archives and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
+                        self.archives[at] = end + 22 + note
+        return self
+
+
+_MARKS = _Marks()
+
+
+def _places(b: bytes, mark: bytes) -> list[int]:
+    out, at = [], b.find(mark)
+    while at >= 0:
+        out.append(at)
+        at = b.find(mark, at + 1)
+    return out
+
+
 def _zip(b: bytes, at: int) -> int | None:
     """A local header, and a directory end that points back into the archive."""
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + start + size == end and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    end = _MARKS.of(b).archives.get(at)
+    return None if end is None else end - at
 
 
 def _pdf(b: bytes, at: int) -> int | None:
     """A version and an end-of-file mark after a cross-reference start."""
     if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return None
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.rfind(b"startxref", at, end) >= 0 else None
+    marks = _MARKS.of(b)
+    place = bisect_left(marks.ends, at)
+    start = bisect_left(marks.starts, at)
+    if place == len(marks.ends) or start == len(marks.starts) or marks.starts[start] > marks.ends[place]:
+        return None
+    return marks.ends[place] + 5 - at
+
+
+def _crc_table(poly: int, width: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= width - 8
+        for _ in range(8):
+            x = (x << 1 ^ poly if x >> (width - 1) else x << 1) & ((1 << width) - 1)
+        out.append(x)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _residual(bits: str, i: int, n: int, order: int) -> int:
+    """Where the Rice-coded residual of a subframe of n samples ends."""
+    width, parts = 4 + (bits[i : i + 2] == "01"), 1 << int(bits[i + 2 : i + 6], 2)
+    if bits[i] == "1" or n % parts:
+        raise ValueError("no such residual")
+    i += 6
+    for part in range(parts):
+        count = n // parts - (0 if part else order)
+        rice, i = int(bits[i : i + width], 2), i + width
+        if rice == (1 << width) - 1:
+            i += 5 + count * int(bits[i : i + 5], 2)
+            continue
+        for _ in range(count):
+            i = bits.index("1", i) + 1 + rice
+    return i
+
+
+def _flac_frame(b: bytes, at: int, depth: int) -> tuple[int, int] | None:
+    """End and samples of the frame there: a header with its checksum, subframes of fitting lengths, the frame's checksum."""
+    head = b[at : at + 16]
+    if len(head) < 6 or head[0] != 0xFF or head[1] & 0xFE != 0xF8 or head[3] & 1:
+        return None
+    sizes, rate, layout, bps = head[2] >> 4, head[2] & 15, head[3] >> 4, head[3] >> 1 & 7
+    ones = 8 - (~head[4] & 0xFF).bit_length()
+    if not sizes or rate == 15 or layout > 10 or bps == 3 or ones in (1, 8):
+        return None
+    i = 4 + max(1, ones)
+    n = {1: 192, 6: int.from_bytes(head[i : i + 1], "big") + 1, 7: int.from_bytes(head[i : i + 2], "big") + 1}.get(sizes, 576 << max(0, sizes - 2) if sizes < 6 else 256 << max(0, sizes - 8))
+    i += {6: 1, 7: 2}.get(sizes, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for x in head[:i]:
+        crc = _CRC8[crc ^ x]
+    if i >= len(head) or crc != head[i]:
+        return None
+    depth = (depth, 8, 12, 0, 16, 20, 24, 32)[bps]
+    channels = layout + 1 if layout < 8 else 2
+    raw = b[at + i + 1 : at + i + 1 + channels * (n * (depth + 2) + 64) // 4 + 64]  # encoders store samples as they are before a frame gets twice as long
+    bits, i, body = f"{int.from_bytes(raw, 'big'):0{8 * len(raw)}b}" if raw else "", 0, at + i + 1
+    try:
+        for channel in range(channels):
+            width = depth + ((layout, channel) in ((8, 1), (9, 0), (10, 1)))
+            kind, wasted = int(bits[i + 1 : i + 7], 2), bits[i + 7] == "1"
+            if bits[i] == "1":
+                return None
+            i += 8
+            if wasted:
+                more = bits.index("1", i) + 1
+                width, i = width - (more - i), more
+            if kind == 0:
+                i += width
+            elif kind == 1:
+                i += n * width
+            elif 8 <= kind <= 12:
+                i = _residual(bits, i + (kind - 8) * width, n, kind - 8)
+            elif kind >= 32:
+                order = kind - 31
+                precision = int(bits[i + order * width : i + order * width + 4], 2) + 1
+                i = _residual(bits, i + order * width + 9 + order * precision, n, order)
+            else:
+                return None
+    except (ValueError, IndexError):
+        return None
+    end, crc = body + -(-i // 8) + 2, 0
+    if end > len(b):
+        return None
+    for x in b[at : end - 2]:
+        crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ x]
+    return (end, n) if crc == int.from_bytes(b[end - 2 : end], "big") else None
 
 
 def _flac(b: bytes, at: int) -> int | None:
-    """Metadata blocks from STREAMINFO on; frames run to the end of the value."""
-    i, first = at + 4, True
-    while i + 4 <= len(b):
-        kind, size = b[i] & 0x7F, int.from_bytes(b[i + 1 : i + 4], "big")
+    """Metadata blocks from STREAMINFO on, then frames one after another, up to the stream's number of samples."""
+    i, first, last, depth, total = at + 4, True, False, 0, 0
+    while not last:
+        if i + 4 > len(b):
+            return None
+        kind, size, last = b[i] & 0x7F, int.from_bytes(b[i + 1 : i + 4], "big"), b[i] >> 7
         if first and (kind != 0 or size != 34) or i + 4 + size > len(b):
             return None
-        last, first, i = b[i] & 0x80, False, i + 4 + size
-        if last:
-            return len(b) - at
-    return None
+        if first:
+            packed = int.from_bytes(b[i + 14 : i + 22], "big")  # 20 bits of rate, 3 of channels, 5 of depth, 36 of samples
+            depth, total = (packed >> 36 & 31) + 1, packed & (1 << 36) - 1
+        first, i = False, i + 4 + size
+    start, samples = i, 0
+    while (not total or samples < total) and (frame := _flac_frame(b, i, depth)):
+        i, samples = frame[0], samples + frame[1]
+    return i - at if i > start and samples >= total else None
 
 
 def _ogg(b: bytes, at: int) -> int | None:
@@ -242,6 +360,7 @@ def _automaton():
 def carve(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of every confirmed medium, outermost ones only: what lies inside one isn't listed."""
     out, clear = [], 0
+    _MARKS.value = None
     for end, (size, formats) in _automaton().iter(data.decode("latin-1")):
         for place, kind, valid in formats:
             at = end - size + 1 - place
@@ -255,6 +374,7 @@ def carve(data: bytes) -> list[tuple[int, int, str]]:
 def sniff(data: bytes, declared: str | None = None) -> tuple[str | None, bool]:
     """The type of the medium that starts the value, and True; or the declared type and False."""
     head = data[:64].decode("latin-1")
+    _MARKS.value = None
     for end, (size, formats) in _automaton().iter(head):
         for place, kind, valid in formats:
             if end - size + 1 == place and valid(data, 0):
@@ -318,24 +438,32 @@ def describe(kind: str, samples: bytes) -> str:
     return f"{kind};ms={1000 * len(x) // RATE};mean={mean:.4f};sd={max(0.0, squares / len(x) - mean * mean) ** 0.5:.4f};zc={crossings};hist={'.'.join(map(str, steps))}"
 
 
-def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media_type of each
-    text, from its stored form: sniffed, carved, read back."""
+def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str = "text/plain") -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and media_type of
+    each text's stored form, sniffed and read back; declared_type, payload_type and corrected of the text itself, n_carved
+    and carved, the media within it (offset:length:type)."""
     _common.prepare(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     columns = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "media_type": "string"}
+    columns |= {"declared_type": "string", "payload_type": "string", "corrected": "boolean", "n_carved": "long", "carved": "string"}
 
     def one(text: str) -> tuple:
         data, n = payload(text)
+        raw = data[:n]
+        kind_within, sure = sniff(raw, declared)
+        parts = carve(raw)
         stored = as_wav(data)
-        (offset, length, kind), *_ = carve(stored)
-        back = wav_samples(stored[offset : offset + length])
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(kind, back), kind
+        kind, confirmed = sniff(stored, "application/octet-stream")
+        if not confirmed:
+            raise ValueError("a stored form must be confirmed")
+        back = wav_samples(stored)
+        own = n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(kind, back), kind
+        return *own, declared, kind_within, sure and kind_within != declared, len(parts), ",".join(f"{o}:{size}:{k}" for o, size, k in parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.slices(batches):
             values = list(zip(*map(one, batch.column(1).to_pylist()), strict=True))
-            kinds = [pa.int64() if t == "long" else pa.string() for t in columns.values()]
+            kinds = [{"long": pa.int64(), "boolean": pa.bool_()}.get(t, pa.string()) for t in columns.values()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], names=["doc_id", *columns])
 
     return docs.select(F.col(id_col).alias("doc_id"), _common.text_or_empty(text_col).alias("text")).mapInArrow(run, ", ".join([f"doc_id {id_type}", *(f"{c} {t}" for c, t in columns.items())]))
