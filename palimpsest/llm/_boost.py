@@ -82,11 +82,11 @@ class Isotonic:
     """Least-squares non-decreasing step function by pooling adjacent violators, interpolated between its steps."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        order = np.argsort(x, kind="stable")
+        values, place, weights = np.unique(x, return_inverse=True, return_counts=True)  # equal inputs are one point
         blocks: list[list[float]] = []  # mean, weight, first x, last x
-        for a, b in zip(x[order], y[order], strict=True):
-            blocks.append([float(b), 1.0, float(a), float(a)])
-            while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
+        for a, n, b in zip(values, weights, np.bincount(place, y, len(values)) / np.maximum(1, weights), strict=True):
+            blocks.append([float(b), float(n), float(a), float(a)])
+            while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
                 m, w, _, last = blocks.pop()
                 n, v, first, _ = blocks.pop()
                 blocks.append([(m * w + n * v) / (w + v), w + v, first, last])

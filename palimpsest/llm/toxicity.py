@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from palimpsest.llm._boost import Boosted, Isotonic
 SAMPLE = 8000
 #: Log-likelihood ratio, against the share of toxic rows, that a word needs: chance in a million words stays below.
 SURPRISE = 16.0
-#: Learned word beginnings, at most, and the lengths of beginnings that are tried beside whole words.
-LEXICON, BEGINNINGS = 2000, (4, 5, 6)
+#: The lengths of word beginnings that are tried beside whole words.
+BEGINNINGS = (4, 5, 6)
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash clown clowns disgusting garbage fool fools imbecile jerk crap damn hate ugly filthy vermin kill freak coward liar".split())
 SECOND_PERSON = frozenset("you your yours yourself ur u du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -91,7 +92,7 @@ def features(text: str, words: Words) -> list[float]:
     codes = [c for _, c in found if c > 3 or c & 1]
     insults = sum(c & 1 for c in codes)
     letters = sum(map(str.isalpha, text[:1])) + max(1, len(text))  # at least one, so that rates of empty texts are 0
-    upper = sum(1 for a, b in zip(text, text.lower(), strict=False) if a != b) if not text.islower() else 0
+    upper = sum(map(ne, text, text.lower())) if not text.islower() else 0
     shouted = sum(1 for t in text.split() if len(t) > 3 and t.isupper())
     marks = Counter(text)
     punctuation = sum(v for k, v in marks.items() if not k.isalnum() and not k.isspace())
@@ -153,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share, base = F.col("toxic") / (F.col("toxic") + F.col("clean")), bad / max(1, bad + good)
     surprise = F.col("toxic") * F.log(share / base) + F.col("clean") * F.log(F.greatest(1 - share, F.lit(1e-9)) / max(1e-9, 1 - base))
     often = counted.where(F.col("toxic") > 0).withColumn("odds", odds).where((F.col("odds") > WEAK) & (surprise > SURPRISE))
-    lexicon = {r["key"]: r["odds"] for r in often.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "key").limit(LEXICON).collect()}
+    lexicon = {r["key"]: r["odds"] for r in often.collect()}  # of the sample's words those that many of its toxic texts have
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(lexicon)
@@ -175,7 +176,7 @@ def _scores(batch: pa.RecordBatch, at: int, model: Model, words: Words) -> np.nd
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON words and the trees
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of the sample, and the trees
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 import random
+import zlib
 
 import numpy as np
-import zlib
+from pyspark.sql import functions as F
 
 from palimpsest.llm import toxicity as T
 from palimpsest.llm._boost import Boosted, Isotonic
@@ -83,3 +84,78 @@ def test_features_have_names():
     assert x["insults"] == 1 and x["strong"] == 1 and x["near_person"] == 2 and x["exclaims"] > 0
     assert T.features("", words) == T.features("", words) and len(T.features("", words)) == len(T.NAMES)
     assert words["1d10t"][1] & 16
+
+
+def test_real_labels_held_out(spark):
+    """The held-out fold of the tables' own labels: ranks, decisions and calibration."""
+    at = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    got = T.op6_boosted_toxicity(spark, at).where("held_out").join(labels, "doc_id").select("score", "predicted", F.col("toxic").cast("int").alias("toxic")).toPandas()
+    y, s = got["toxic"].to_numpy(), got["score"].to_numpy()
+    assert len(got) > 500 and 30 < y.sum() < len(y)
+    bad, good = s[y == 1][:, None], s[y == 0][None, :]
+    auc = (bad > good).mean() + 0.5 * (bad == good).mean()
+    print("auc", auc, "accuracy", (got["predicted"] == y).mean(), "brier", ((s - y) ** 2).mean())
+    assert auc > 0.99 and (got["predicted"] == y).mean() > 0.98 and ((s - y) ** 2).mean() < 0.02
+
+
+def naive_boost(x, y, cuts, trees, depth, rate, least, ridge):
+    """Every split of every feature by plain sums, row by row."""
+    base = np.log(y.mean() / (1 - y.mean()))
+    score = [base] * len(y)
+
+    def grow(rows, level, g, h):
+        total, weight = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        leaf = rate * total / (weight + ridge)
+        if level == depth or len(rows) < 2 * least:
+            return leaf
+        best = None
+        for f in range(x.shape[1]):
+            for cut in cuts[f]:
+                left, right = [i for i in rows if x[i, f] < cut], [i for i in rows if x[i, f] >= cut]
+                if min(len(left), len(right)) < least:
+                    continue
+                gain = sum(sum(g[i] for i in side) ** 2 / (sum(h[i] for i in side) + ridge) for side in (left, right)) - total**2 / (weight + ridge)
+                if gain > 1e-6 and (best is None or gain > best[0] + 1e-12):
+                    best = (gain, f, cut, left, right)
+        return leaf if best is None else (best[1], best[2], grow(best[3], level + 1, g, h), grow(best[4], level + 1, g, h))
+
+    def walk(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] < tree[1] else tree[3]
+        return tree
+
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-s)) for s in score]
+        tree = grow(list(range(len(y))), 0, [b - a for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p])
+        score = [s + walk(tree, row) for s, row in zip(score, x, strict=True)]
+    return np.array(score)
+
+
+def test_boosting_equals_brute_force():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(90, 3)), 2)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=90)) > 0).astype(float)
+    model = Boosted(trees=6, depth=2, bins=8, least=5).fit(x, y)
+    assert np.allclose(model.raw(x), naive_boost(x, y, model.cuts, 6, 2, model.rate, 5, model.ridge))
+
+
+def test_isotonic_equals_the_min_max_formula():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=60), 1)
+    y = (rng.random(60) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    values = np.unique(x)
+    mean = lambda a, b: y[(x >= a) & (x <= b)].mean()
+    want = [max(min(mean(a, b) for b in values if b >= v) for a in values if a <= v) for v in values]
+    assert np.allclose(Isotonic(x, y)(values), want)
+
+
+def test_features_by_hand():
+    words = T.Words({"zork*": 5.0})
+    x = dict(zip(T.NAMES, T.features("You, zorkish ONE! sooo b4d? idiot far far far far far far your end", words), strict=True))
+    n = 14
+    assert x["words"] == np.log1p(n) and x["insult_density"] == 1 / (n + 1) and x["strong_density"] == 1 / (n + 1) and x["person_density"] == 2 / (n + 1)
+    assert x["near_person"] == 2  # zorkish after You, idiot seven before your but five after You
+    length = len("You, zorkish ONE! sooo b4d? idiot far far far far far far your end") + 1
+    assert x["capitals"] == 4 / length and x["exclaims"] == 1 / length and x["questions"] == 1 / length and x["punctuation"] == 3 / length
+    assert x["shouted"] == 1 / (n + 1) and x["odd_words"] == 1 / (n + 1) and x["stretched"] == 1 / (n + 1) and x["disguised"] == 0
