@@ -78,6 +78,20 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Keys with more than one row in so many are hot; so there are at most as many of them.
+HOT_SHARE = 1024
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """left.join(right, key), where right has one row a key and, in count, how many rows of left have that key. Hot keys'
+    rows of left aren't shuffled to one task: their rows of right, HOT_SHARE at most, are broadcast."""
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > total / HOT_SHARE
+    few, rest = right.where(hot).drop(count), right.where(~hot).drop(count)
+    spread = left.join(F.broadcast(few), key)
+    return spread.unionByName(left.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

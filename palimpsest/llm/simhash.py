@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fp, component_id: the least id of all documents whose fingerprints are reachable over links. fp is the
     first signature; documents that share it are one node."""
     hashed = _common.checkpoint(fingerprints(docs, id_col, text_col, words, signatures=signatures).select("doc_id", F.col("fps")[0].alias("fp"), "fps"))
-    least = _common.checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = _common.checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     first = least.select(F.lit(0).alias("j"), "fp", F.col("fp").alias("node"))
     if signatures == 1:
         edges = links(first, bucket).select("u", "v")
@@ -157,25 +157,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         linked = found.join(at("u"), ["j", "u"]).join(at("v"), ["j", "v"]).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
         edges = same.unionByName(linked)
     rooted = components(edges)
-    classed = least.join(rooted, least.fp == rooted.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = _common.checkpoint(classed.join(ids, "root").select("fp", "component_id"))
+    classed = _common.checkpoint(least.join(rooted, least.fp == rooted.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    ids = _common.checkpoint(classed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    by_fp = _common.checkpoint(_common.join_counted(classed, ids, "root", "fps").select("fp", "component_id", "n"))
     _common.release(docs.sparkSession)
-    return hashed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return _common.join_counted(hashed.select("doc_id", "fp"), by_fp, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bound: float = 0.8) -> DataFrame:
     """docs with one row of each group of texts that links of shingle similarity >= bound hold together: the first by
     id (nulls last), the text's hash and the row's hash. Of rows equal in all columns one stays."""
-    body, own = _common.text_or_empty(text_col), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(body).alias("hash"), own.alias("row"))
-    rows = _jaccard.grouped(docs.select(order.alias("first"), F.xxhash64(body).alias("t"), body.alias("text")), lambda x: shingle_set(x, words), bound)
+    body, names = _common.text_or_empty(text_col), [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(F.xxhash64(*names).alias("row"), F.xxhash64(body).alias("hash"), F.col(id_col).alias("id"))
+    order = F.struct(F.col("row.id").isNull().alias("none"), "row.id", "row.hash", "row.row")
+    rows = _jaccard.grouped(docs.select(row.alias("row"), body.alias("text")).select(order.alias("first"), F.col("row.hash").alias("t"), "text"), lambda x: shingle_set(x, words), bound)
     kept = rows.groupBy("root").agg(F.min("first").alias("first"))
-    kept = _common.checkpoint(kept.join(rows.groupBy("first").agg(F.count("*").alias("n")), "first").select(F.col("first.row").alias("__row"), F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"), F.col("n").alias("__n")))
-    rowed = docs.withColumns({"__own": own, "__text": F.xxhash64(body)})
-    met = rowed.join(kept, (F.col("__own") == F.col("__row")) & (F.col("__text") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    once, again = met.where("__n = 1"), met.where("__n > 1").dropDuplicates(["__own", "__text", "__id"])
-    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = kept.join(rows.groupBy("first").agg(F.count("*").alias("n")), "first")
+    kept = _common.checkpoint(kept.select(F.struct("first.row", "first.hash", "first.id").alias("which"), "n"))
+    met = docs.select(F.struct(*names).alias("own"), row.alias("key")).join(kept, F.col("key").eqNullSafe(F.col("which"))).select("own", "n", "which")  # whatever the columns' names
+    once, again = met.where("n = 1"), met.where("n > 1").dropDuplicates(["which"])
+    return once.unionByName(again).select("own.*")
 
 
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,12 @@ def test_rows_equal_in_id_and_text_leave_one(spark, sf, frame):
 
     docs = frame([(1, "some text")] * 3, extra=False).withColumn("source", F.when(F.rand() < 2, F.monotonically_increasing_id().cast("string")))
     assert corpus_pipeline.drop_near_duplicates(spark, docs, sf).count() == 1
+
+
+def test_clashing_columns(spark, sf, frame):
+    from pyspark.sql import functions as F
+
+    docs = frame([(1, "some text"), (1, "some text"), (2, None), (None, "other words here")], extra=False)
+    docs = docs.withColumns({c: F.lit("x") for c in ("__own", "__text", "__row", "__id", "__kept", "own", "key", "n", "row", "first", "root", "hash", "t", "node", "sig", "keys")})
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert left.columns == docs.columns and sorted((str(r.doc_id), r.text, r.key) for r in left.collect()) == [("1", "some text", "x"), ("2", None, "x"), ("None", "other words here", "x")]
