@@ -51,3 +51,48 @@ def test_redaction_keeps_clean_and_null_texts(frame):
     assert S.redacted(docs).columns == docs.columns
     assert got[0].text is None and got[1].text == "" and got[7].text == TEXTS[7] and got[10].text == TEXTS[10]
     assert "5c51a969" not in got[2].text and "AKIARN6" not in got[4].text and "qZ8xT2" not in got[9].text and got[9].text.startswith("key [SECRET]")
+
+
+def test_ratios_and_best_segments_equal_brute_force():
+    """Transitions counted in dicts, and every segment tried."""
+    import math
+    import random
+
+    samples = S.labelled_samples(3, 300)
+    pair = S.MarkovPair(samples)
+    counts = [{}, {}]
+    for text, label in samples:
+        for a, b in zip(["^", *text], text, strict=False):
+            counts[label].setdefault(a, {}).setdefault(b, 0)
+            counts[label][a][b] += 1
+    n = len(S.ALPHABET) + 1
+
+    def ratio(a, b):
+        logs = [math.log((c.get(a, {}).get(b, 0) + 0.5) / (sum(c.get(a, {}).values()) + 0.5 * n)) for c in counts]
+        return logs[1] - logs[0]
+
+    rng = random.Random(6)
+    for _ in range(40):
+        text = "".join(rng.choices(S.ALPHABET, k=rng.randint(16, 60)))
+        assert math.isclose(pair.llr(text), sum(ratio(a, b) for a, b in zip(["^", *text], text, strict=False)) / len(text), abs_tol=1e-9)
+        every = {(s, e): sum(ratio(a, b) - 0.6 for a, b in zip(["^", *text[s:e]], text[s:e], strict=False)) for s in range(len(text)) for e in range(s + 16, len(text) + 1)}
+        s, e, total = pair.best(text, 16, 0.6)
+        assert math.isclose(total, max(every.values()), abs_tol=1e-9) and math.isclose(every[s, e], total, abs_tol=1e-9)
+
+
+def test_recall_by_alphabet_and_precision_on_identifiers():
+    """Figures of the README: found shares of random strings in plain text, and of identifiers and words taken for secrets."""
+    import random
+
+    pair, rng = S.model(), random.Random(12)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+    def found(alphabet, k):
+        texts = ["see " + "".join(rng.choices(alphabet, k=k)) + " there" for _ in range(400)]
+        return sum(any(s <= 4 and e >= 4 + k for s, _, e in S.markov_spans(t, S.base_spans(t), pair, 0.6)) for t in texts) / 400
+
+    shares = {(name, k): found(a, k) for name, a in (("mixed", lower + upper + digits), ("letters", lower + upper), ("upper and digits", upper + digits)) for k in (20, 24, 32)}
+    words = [t for t, y in S.labelled_samples(41, 3000) if y == 0]
+    taken = sum(bool(S.markov_spans(t, [], pair, 0.6)) for t in words) / len(words)
+    print(shares, taken)
+    assert min(v for (name, _), v in shares.items() if name != "letters") > 0.95 and min(v for (name, _), v in shares.items() if name == "letters") > 0.85 and taken < 0.02
