@@ -196,9 +196,8 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     wanted = mixed.where("at = low").groupBy(document).agg(F.collect_list(F.struct("at", F.col("high").alias("other"), "first", "size", "h", "c")).alias("blocks"))  # at most a document's windows
     wanted = _common.checkpoint(wanted.join(own, "d").drop("d"))
     _common.release(spark)
-    # of repeated rows one text is enough
-    expanded = texts.join(wanted, ["k", "t"]).groupBy("k", "t").agg(F.first("text").alias("text"), F.first("blocks").alias("blocks"))
-    expanded, drop_expanded = _common.stored(_seeds(expanded.select("text", "blocks"), window))
+    # the texts of repeated rows give the same seeds again, of blocks that occur twice anyhow
+    expanded, drop_expanded = _common.stored(_seeds(texts.join(wanted, ["k", "t"]).select("text", "blocks"), window))
     del wanted
     _common.release(spark)
     here = F.col("at") + F.col("bit")
