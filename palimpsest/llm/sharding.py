@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import _common
 
 #: Positions on the ring; also the bound of what the driver holds.
-CELLS = 16384
+CELLS = 4096
 #: Parts of a position that are ranked apart, and places that equal rows are dealt to.
 SALTS, PLACES = 16, 4096
 
@@ -92,7 +92,7 @@ def position(docs: DataFrame, key: str, text: str) -> Column:
     return F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(key)), spread)
 
 
-def shard(docs: DataFrame, shards: int = 8, virtual: int = 512, key: str = "doc_id", text: str = "text", epsilon: float = 0.0) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, virtual: int = 256, key: str = "doc_id", text: str = "text", epsilon: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: slots are gapless from 0 in each shard."""
     spark = docs.sparkSession
     body, own = F.coalesce(F.col(text).cast("string"), F.lit("")), ["doc_id", "size", "text_crc32", "hash"]
