@@ -65,7 +65,8 @@ def report(docs: DataFrame, text_col: str = "text") -> DataFrame:
     documents of at most that length (whose inverse gives quantiles)."""
     counted = _common.checkpoint(lengths(docs, text_col))
     total = counted.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("all_docs"), F.coalesce(F.sum(F.col("length") * F.col("n_docs")), F.lit(0)).alias("all_tokens"))
-    out = suffix_sums(counted).join(F.broadcast(total))  # the totals are one row
+    one = lambda c: total.select(c).scalar().alias(c)
+    out = suffix_sums(counted).select("*", one("all_docs"), one("all_tokens"))
     return out.select(
         "length",
         "n_docs",
