@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     add("push", ("provider", {"choices": PROVIDERS}), ("destination", {}), roots)
     add("backup", ("--output", {"required": True}), ("--overwrite", yes))
     add("restore", ("--input", {"required": True}), ("--confirm-writer-stopped", yes))
-    add("export-bundle", ("--output", {"required": True}))
+    add("export-bundle", ("--output", {"required": True}), ("--without-sources", yes))
     add("import-bundle", ("--bundle", {"required": True}))
     add("doctor")
     add("tool", ("name", {}), ("--arguments", {"default": "{}"}), ("--access", {"choices": list(Access), "default": "full"}))
@@ -83,7 +83,7 @@ def run(index: Index, a: argparse.Namespace) -> object:
         "push": lambda: remote.push(index, a.provider, a.roots, a.destination),
         "backup": lambda: index.backup(a.output, a.overwrite),
         "restore": lambda: index.restore(a.input, a.confirm_writer_stopped),
-        "export-bundle": lambda: backup.export_bundle(index.store, a.output),
+        "export-bundle": lambda: backup.export_bundle(index.store, a.output, not a.without_sources),
         "import-bundle": lambda: backup.import_bundle(index.store, a.bundle),
         "doctor": index.doctor,
         "tool": lambda: Tools(index, a.access).call(a.name, json.loads(a.arguments)),

@@ -6,6 +6,7 @@ import json
 import os
 from collections.abc import Callable
 from enum import StrEnum
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +62,13 @@ class Index:
     def _next_id(self, name: str) -> int:
         return (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
 
-    def _ledger(self, name: str, row: dict) -> DataFrame:
+    def _ledger(self, name: str, rows: list[dict]) -> DataFrame:
         kind = schema.TABLES[name]
-        new = self.spark.createDataFrame([tuple(row.get(c) for c in kind.names)], kind)
+        new = self.spark.createDataFrame([tuple(row.get(c) for c in kind.names) for row in rows], kind)
         stamp = {"archives": "imported_at", "runs": "started_at"}[name]
         return self.table(name).unionByName(new.withColumn(stamp, F.current_timestamp()))
 
-    def _write(self, incoming: DataFrame, messages: DataFrame, attachments: DataFrame, label: str, kind: str, archive: dict) -> dict:
+    def _write(self, incoming: DataFrame, messages: DataFrame, attachments: DataFrame, label: str, kind: str, archives: list[dict]) -> dict:
         """Conversations, children and jobs of the touched buckets, and the ledgers, in one snapshot."""
         clashing = upsert.colliding(messages).persist()
         errors = [f"{r[0]}: repeated message id" for r in clashing.orderBy("conversation_id").limit(1000).collect()]
@@ -87,47 +88,48 @@ class Index:
             "attachments": upsert.replace_children(part("attachments"), attachments, parents),
             "jobs": jobs.upsert(part("jobs"), jobs.enqueue(fresh)),
         }
-        ledgers = {"archives": self._ledger("archives", archive), "runs": self._ledger("runs", run).withColumn("completed_at", F.coalesce("completed_at", F.when(F.col("id") == run["id"], F.current_timestamp())))}
+        ledgers = {"archives": self._ledger("archives", archives), "runs": self._ledger("runs", [run]).withColumn("completed_at", F.coalesce("completed_at", F.when(F.col("id") == run["id"], F.current_timestamp())))}
         self.store.commit((changes if buckets else {}) | ledgers, buckets)
         incoming.unpersist()
         clashing.unpersist()
         return report
 
     def import_normalized(self, rows: DataFrame, label: str = "normalized-input", reindex: bool = True) -> dict:
+        self.store.begin()
         archive = {"id": self._next_id("archives"), "archive_path": label, "source_path": label, "import_mode": "normalized"}
-        rows = rows.persist()
-        incoming = upsert.latest(upsert.conversation_rows(rows, archive["id"]))
-        order = F.struct(F.coalesce("update_time", "create_time", F.lit(0.0)), F.to_json("messages"))
-        own = X.canonical_id(F.col("source"), F.col("source_instance"), F.col("source_conversation_id"))
-        last = rows.groupBy(own.alias("conversation_id")).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-        # an order-free digest of the batch: ids with update times, sorted
-        facts = incoming.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.concat_ws(":", "conversation_id", F.coalesce("update_time", F.lit(0.0))), 256))), ","), 256).alias("sha")).first()
+        last = upsert.last_of(rows).persist()
+        incoming = upsert.conversation_rows(last, archive["id"])
+        # a digest of the batch that is free of order and takes one row: sums of hashes of ids with update times
+        fact = F.sha2(F.concat_ws(":", "conversation_id", F.coalesce("update_time", F.lit(0.0))), 256)
+        part = lambda at: F.coalesce(F.sum(F.conv(F.substring(fact, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0))
+        facts = incoming.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*"), *map(part, (1, 16, 31, 46))), 256).alias("sha")).first()
         archive |= {"sha256_hex": facts["sha"], "size_bytes": facts["n"]}
-        report = self._write(incoming, upsert.message_rows(last), self.spark.createDataFrame([], schema.ATTACHMENTS), label, "normalized_import", archive)
-        rows.unpersist()
+        report = self._write(incoming, upsert.message_rows(last), self.spark.createDataFrame([], schema.ATTACHMENTS), label, "normalized_import", [archive])
+        last.unpersist()
         if reindex:
             self.reindex()
         return report
 
     def import_archive(self, path: str, run_jobs: bool = False, force: bool = False, mode: str | None = None) -> dict:
         """An account export: conversations, messages, attachments; then, if wanted, summaries and embeddings. With a mode
-        (copy or adopt) the archive is first staged in the index's folder."""
+        (copy or adopt) the archive is first staged in the index's folder. Of a conversation that the archive repeats, the
+        last copy counts, with its messages and attachments."""
         if mode is not None:
             path = exports.stage(self.spark, path, self.store.home, schema.ImportMode(mode))
-        digest = exports.digests(self.spark, path).orderBy("path").first()
-        archive = {"id": self._next_id("archives"), "archive_path": path, "source_path": path, "sha256_hex": digest["sha256_hex"], "size_bytes": digest["size_bytes"], "import_mode": mode or "in_place"}
-        rows = exports.read(self.spark, path).persist()
-        members = exports.members(self.spark, path)
-        incoming = upsert.latest(upsert.conversation_rows(rows, archive["id"]))
-        tokens = rows.select(F.col("source_conversation_id").alias("conversation_id"), "archive_member", F.explode("tokens").alias("token"))
-        named = members.select("archive_member", "path", F.explode(X.file_tokens(F.col("path"))).alias("token"))
-        linked = tokens.join(named, ["archive_member", "token"]).select("conversation_id", "token", "path").distinct()
-        attachments = linked.select(
-            "conversation_id", F.concat_ws(":", "conversation_id", "token").alias("attachment_id"), F.col("path").alias("archive_path"), X.extension(F.col("path")).alias("extension"),
-            F.lit(None).cast("long").alias("size_bytes"), F.col("token").alias("source_ref"), F.to_json(F.struct(F.col("path").alias("archive_path"), F.col("token").alias("file_token"))).alias("linkage_json"),
-        )
-        report = self._write(incoming, upsert.message_rows(rows.drop("archive_member", "source_member", "tokens")), attachments, path, "import", archive)
-        rows.unpersist()
+        self.store.begin()
+        first = self._next_id("archives")
+        unpacked = exports.unpack(self.spark, path, f"{self.store.home}/unpacked-{uuid4().hex}")
+        try:
+            archives = [{"id": first + i, "archive_path": at, "source_path": at, "sha256_hex": sha, "size_bytes": size, "import_mode": mode or "in_place"} for i, (at, sha, size) in enumerate(unpacked.archives)]
+            last = upsert.last_of(exports.read(unpacked), F.col("position")).persist()
+            incoming = upsert.conversation_rows(last, F.col("archive_number") + first)
+            own = ("archive_number", "archive_member")
+            tokens = last.select(*own, F.col("source_conversation_id").alias("conversation_id"), F.explode("tokens").alias("token"))
+            attachments = upsert.attachment_rows(tokens, exports.members(unpacked), own)
+            report = self._write(incoming, upsert.message_rows(last), attachments, path, "import", archives)
+            last.unpersist()
+        finally:
+            delete(self.spark, unpacked.folder)
         self.reindex()
         if run_jobs:
             report |= {"summaries_completed": self.rebuild_summaries(force), "embeddings_completed": self.rebuild_embeddings(force)}
@@ -148,15 +150,24 @@ class Index:
 
     # --- derived columns -----------------------------------------------------------------------------------------
 
-    def _jobs_done(self, ids: DataFrame, kind: JobKind, good: DataFrame, bad: DataFrame) -> DataFrame:
+    def _jobs_done(self, table: DataFrame, ids: DataFrame, kind: JobKind, good: DataFrame, bad: DataFrame) -> DataFrame:
         """Both state changes of a pass: running with one attempt more, then complete or failed."""
-        table = jobs.upsert(self.table("jobs"), jobs.changes(ids, [kind], JobStatus.RUNNING, 1))
+        table = jobs.upsert(table, jobs.changes(ids, [kind], JobStatus.RUNNING, 1))
         ended = jobs.changes(good, [kind], JobStatus.COMPLETE).unionByName(jobs.changes(bad, [kind], JobStatus.FAILED, error=F.col("error")))
         return jobs.upsert(table, ended)
 
+    def _chosen(self, kind: JobKind, force: bool, ids: list[str] | None, limit: int | None) -> tuple[DataFrame, list[int]]:
+        """A pass's targets, and the buckets that hold them: no others are read again or written."""
+        self.store.begin()
+        chosen = jobs.targets(self.table("conversations"), self.table("jobs"), kind, force, ids, limit).persist()
+        return chosen, self.store.touched(chosen)
+
     def rebuild_summaries(self, force: bool = False, ids: list[str] | None = None, limit: int | None = None) -> int:
-        chosen = jobs.targets(self.table("conversations"), self.table("jobs"), JobKind.SUMMARY, force, ids, limit)
-        texts = self.table("conversations").join(chosen, "conversation_id", "left_semi").select("conversation_id", "transcript_text")
+        chosen, buckets = self._chosen(JobKind.SUMMARY, force, ids, limit)
+        if not buckets:
+            return 0
+        rows = self.store.part("conversations", buckets)
+        texts = rows.join(chosen, "conversation_id", "left_semi").select("conversation_id", "transcript_text")
         call = self.summariser
 
         def run(batches):
@@ -175,22 +186,29 @@ class Index:
         made = texts.mapInPandas(run, kind).persist()
         good, bad = made.where(F.col("error").isNull()), made.where(F.col("error").isNotNull())
         done = good.count()
-        self.store.commit({"conversations": upsert.write_summaries(self.table("conversations"), good, "extractive-v1"), "jobs": self._jobs_done(made.select("conversation_id"), JobKind.SUMMARY, good, bad)})
+        queue = self._jobs_done(self.store.part("jobs", buckets), made.select("conversation_id"), JobKind.SUMMARY, good, bad)
+        self.store.commit({"conversations": upsert.write_summaries(rows, good, "extractive-v1"), "jobs": queue}, buckets)
         made.unpersist()
+        chosen.unpersist()
         return done
 
-    def embedding_inputs(self, ids: DataFrame) -> DataFrame:
-        rows = self.table("conversations").join(ids, "conversation_id", "left_semi")
+    def embedding_inputs(self, ids: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
+        rows = (self.table("conversations") if conversations is None else conversations).join(ids, "conversation_id", "left_semi")
         summary = F.from_json("summary_json", schema.SUMMARY, {"mode": "FAILFAST"})
         return rows.select("conversation_id", X.embedding_input(F.col("title"), summary, F.col("transcript_digest")).alias("input"))
 
     def rebuild_embeddings(self, force: bool = False, ids: list[str] | None = None, limit: int | None = None) -> int:
-        chosen = jobs.targets(self.table("conversations"), self.table("jobs"), JobKind.EMBEDDING, force, ids, limit)
-        made = self.embedding_inputs(chosen).select("conversation_id", V.hashed_embedding_col(F.col("input")).alias("vector")).persist()
+        chosen, buckets = self._chosen(JobKind.EMBEDDING, force, ids, limit)
+        if not buckets:
+            return 0
+        rows = self.store.part("conversations", buckets)
+        made = self.embedding_inputs(chosen, rows).select("conversation_id", V.hashed_embedding_col(F.col("input")).alias("vector")).persist()
         done = made.count()
         none = made.where(F.lit(False)).select("conversation_id", F.lit("").alias("error"))
-        self.store.commit({"conversations": upsert.write_embeddings(self.table("conversations"), made, V.MODEL), "jobs": self._jobs_done(made.select("conversation_id"), JobKind.EMBEDDING, made, none)})
+        queue = self._jobs_done(self.store.part("jobs", buckets), made.select("conversation_id"), JobKind.EMBEDDING, made, none)
+        self.store.commit({"conversations": upsert.write_embeddings(rows, made, V.MODEL), "jobs": queue}, buckets)
         made.unpersist()
+        chosen.unpersist()
         return done
 
     def resume(self) -> dict:
@@ -199,6 +217,7 @@ class Index:
         return out
 
     def reset_stale_jobs(self, minutes: int = jobs.STALE_MINUTES, now: Column | None = None) -> None:
+        self.store.begin()
         self.store.commit({"jobs": jobs.reset_stale(self.table("jobs"), minutes, now)})
 
     # --- reading -------------------------------------------------------------------------------------------------
@@ -208,7 +227,7 @@ class Index:
 
     def reindex(self) -> None:
         """Build the full-text index of the current snapshot; searches use it until the next build."""
-        fulltext.FullTextIndex.build(self.table("conversations")).write(self._fts_path(), self.store.buckets)
+        fulltext.FullTextIndex.build(self.table("conversations")).write(self._fts_path(), self.store.manifest()["buckets"])
 
     def _fts(self) -> fulltext.FullTextIndex:
         if not exists(self.spark, f"{self._fts_path()}/lengths"):

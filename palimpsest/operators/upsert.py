@@ -16,7 +16,7 @@ class DuplicateMessage(ValueError):
     """Conversations whose messages repeat an id; they are not written."""
 
 
-def conversation_rows(normalized: DataFrame, archive_id: int = 0) -> DataFrame:
+def conversation_rows(normalized: DataFrame, archive_id: int | Column = 0) -> DataFrame:
     """Normalized conversations as rows of the conversations table, without derived columns. Blank messages stay out of
     the transcript but are counted; turns are the messages' order."""
     shown = F.filter("messages", lambda m: X.trimmed(m["text"]) != "")
@@ -25,7 +25,7 @@ def conversation_rows(normalized: DataFrame, archive_id: int = 0) -> DataFrame:
     rows = normalized.withColumn("messages", F.coalesce("messages", F.array().cast(schema.NORMALIZED["messages"].dataType)))
     rows = rows.select(
         X.canonical_id(F.col("source"), F.col("source_instance"), F.col("source_conversation_id")).alias("conversation_id"),
-        F.lit(archive_id).cast("long").alias("archive_id"),
+        (archive_id if isinstance(archive_id, Column) else F.lit(archive_id)).cast("long").alias("archive_id"),
         (F.col("archive_member") if "archive_member" in normalized.columns else F.col("source")).alias("archive_member"),
         (F.col("source_member") if "source_member" in normalized.columns else F.coalesce("source_path", F.lit(""))).alias("source_member"),
         "title", "create_time", "update_time", F.col("model").alias("default_model_slug"),
@@ -48,11 +48,11 @@ def colliding(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conversation_id", "message_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("conversation_id").distinct()
 
 
-def latest(incoming: DataFrame) -> DataFrame:
-    """One row for each id of a batch: the one of latest update."""
-    order = F.struct(F.coalesce("update_time", "create_time", F.lit(0.0)), "transcript_text", F.col("title"))
-    rest = [c for c in incoming.columns if c != "conversation_id"]
-    return incoming.groupBy("conversation_id").agg(F.max_by(F.struct(*rest), order).alias("r")).select("conversation_id", "r.*")
+def last_of(normalized: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row for each conversation of a batch: the last in that order, or else the one of latest update."""
+    order = F.struct(F.coalesce("update_time", "create_time", F.lit(0.0)), F.to_json("messages"), "title") if order is None else order
+    own = X.canonical_id(F.col("source"), F.col("source_instance"), F.col("source_conversation_id"))
+    return normalized.groupBy(own.alias("conversation_id")).agg(F.max_by(F.struct(*normalized.columns), order).alias("r")).select("r.*")
 
 
 def changed(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -109,10 +109,11 @@ def asset_index(paths: DataFrame) -> DataFrame:
     return paths.select("path", F.explode(X.file_tokens(F.col("path"))).alias("token")).groupBy("token").agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
 
-def attachment_rows(tokens: DataFrame, paths: DataFrame) -> DataFrame:
-    """Attachments of (conversation_id, token) rows: every member whose name holds the token."""
-    members = paths.select("path", F.explode(X.file_tokens(F.col("path"))).alias("token"))
-    rows = tokens.select("conversation_id", "token").distinct().join(members, "token").distinct()
+def attachment_rows(tokens: DataFrame, paths: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Attachments of (conversation_id, token) rows: every member whose name holds the token; within: columns that a
+    conversation and its members share."""
+    members = paths.select(*within, "path", F.explode(X.file_tokens(F.col("path"))).alias("token"))
+    rows = tokens.select(*within, "conversation_id", "token").distinct().join(members, [*within, "token"]).select("conversation_id", "token", "path").distinct()
     return rows.select(
         "conversation_id",
         F.concat_ws(":", "conversation_id", "token").alias("attachment_id"),

@@ -1,4 +1,9 @@
-"""Account exports: ZIP archives within a ZIP archive, each with conversations as JSON arrays and media members."""
+"""Account exports: ZIP archives within a ZIP archive, each with conversations as JSON arrays and media members.
+
+An outer archive is streamed once, whatever its size, through the file system's own streams: its inner archives are
+written to a folder that all executors see, its digest is taken on the way. The inner archives, the parts that hold
+conversations, are then read side by side, one row each (so of 2 GB at most each).
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +23,8 @@ from palimpsest.functions import payload
 from palimpsest.functions import text as X
 
 #: A conversation with what its archive tells: where it lay, and the file tokens of its messages.
-EXPORTED = T.StructType([*schema.NORMALIZED.fields, T.StructField("archive_member", T.StringType()), T.StructField("source_member", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType()))])
-MEMBER = T.StructType([T.StructField("archive_member", T.StringType()), T.StructField("path", T.StringType())])
+EXPORTED = T.StructType([*schema.NORMALIZED.fields, T.StructField("archive_member", T.StringType()), T.StructField("source_member", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("archive_number", T.LongType()), T.StructField("position", T.StringType())])
+MEMBER = T.StructType([T.StructField("archive_number", T.LongType()), T.StructField("archive_member", T.StringType()), T.StructField("path", T.StringType())])
 
 
 def is_conversations(name: str) -> bool:
@@ -93,56 +99,85 @@ def conversation(value: dict, archive_member: str, source_member: str) -> dict:
     }
 
 
-def nested_names(path: str) -> list[str]:
-    """The members of an export, on the driver that can see it, that hold conversations."""
-    with zipfile.ZipFile(path) as outer:
-        return [n for n in outer.namelist() if is_conversations(n)]
-
-
-def _nested(archives: DataFrame, schema_: T.StructType, rows) -> DataFrame:
+@dataclass
+class Unpacked:
+    """archives: (path, sha256_hex, size_bytes) of each outer archive, in order; parts: archive_number, archive_member,
+    part (its place), content of their inner archives."""
+
+    archives: list[tuple[str, str, int]]
+    parts: DataFrame
+    folder: str
+
+
+def unpack(spark: SparkSession, path: str, folder: str) -> Unpacked:
+    """One archive, or a folder or pattern of them. The folder receives the inner archives; the caller deletes it."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop, drain = jvm.org.apache.hadoop, getattr(jvm.org.apache.hadoop.io, "IOUtils$NullOutputStream")
+    at, to = hadoop.fs.Path(path), hadoop.fs.Path(folder)
+    fs, there = at.getFileSystem(conf), to.getFileSystem(conf)
+    there.mkdirs(to)
+    found = [s for g in fs.globStatus(at) or [] for s in (fs.listStatus(g.getPath()) if g.isDirectory() else [g]) if s.isFile()]
+    if not found:
+        raise FileNotFoundError(path)
+    archives, parts = [], []
+    for number, status in enumerate(sorted(found, key=lambda s: s.getPath().toString())):
+        sha = jvm.java.security.MessageDigest.getInstance("SHA-256")
+        whole = jvm.java.security.DigestInputStream(jvm.java.io.BufferedInputStream(fs.open(status.getPath()), 1 << 20), sha)
+        zipped = jvm.java.util.zip.ZipInputStream(whole)
+        try:
+            while (entry := zipped.getNextEntry()) is not None:
+                if is_conversations(entry.getName()):
+                    name = f"{len(parts):08d}.zip"
+                    out = there.create(hadoop.fs.Path(f"{folder}/{name}"), True)
+                    try:
+                        hadoop.io.IOUtils.copyBytes(zipped, out, 1 << 20, False)
+                    finally:
+                        out.close()
+                    parts.append((name, number, entry.getName()))
+            hadoop.io.IOUtils.copyBytes(whole, drain(), 1 << 20, False)  # what follows the last member counts in the digest
+        finally:
+            zipped.close()
+        archives.append((status.getPath().toString(), bytes(sha.digest()).hex(), status.getLen()))
+    kind = "archive_number long, archive_member string, part string, content binary"
+    if not parts:
+        return Unpacked(archives, spark.createDataFrame([], kind), folder)
+    names = spark.createDataFrame(parts, "part string, archive_number long, archive_member string")
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("part"), "content")
+    return Unpacked(archives, files.join(names, "part").select("archive_number", "archive_member", "part", "content"), folder)
+
+
+def _nested(unpacked: Unpacked, schema_: T.StructType, rows) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as outer:
-                    for name in filter(is_conversations, outer.namelist()):
-                        with outer.open(name) as stream, zipfile.ZipFile(stream) as inner:
+            for number, name, part, content in batch.itertuples(index=False, name=None):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as inner:
+                    pending = []
+                    for row in rows(int(number), name, part, inner):
+                        pending.append(row)
+                        if len(pending) >= 200:
+                            yield pd.DataFrame(pending, columns=schema_.names)
                             pending = []
-                            for row in rows(name, inner):
-                                pending.append(row)
-                                if len(pending) >= 200:
-                                    yield pd.DataFrame(pending, columns=schema_.names)
-                                    pending = []
-                            if pending:
-                                yield pd.DataFrame(pending, columns=schema_.names)
-
-    return archives.select("content").mapInPandas(run, schema_)
+                    if pending:
+                        yield pd.DataFrame(pending, columns=schema_.names)
 
+    return unpacked.parts.mapInPandas(run, schema_)
 
-def archives(spark: SparkSession, path: str) -> DataFrame:
-    """One archive, or a folder or pattern of them: each is one row, so many archives read side by side."""
-    return spark.read.format("binaryFile").load(path)
 
+def read(unpacked: Unpacked) -> DataFrame:
+    """Every conversation of an export; position orders them as they lie in it."""
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every conversation of an export."""
-
-    def rows(name: str, inner: zipfile.ZipFile) -> Iterator[dict]:
-        for member in filter(is_json, inner.namelist()):
+    def rows(number: int, name: str, part: str, inner: zipfile.ZipFile) -> Iterator[dict]:
+        for place, member in enumerate(filter(is_json, inner.namelist())):
             with inner.open(member) as raw:
-                for value in elements(io.TextIOWrapper(raw, encoding="utf-8")):
-                    yield conversation(value, name, member)
-
-    return _nested(archives(spark, path), EXPORTED, rows)
-
+                for i, value in enumerate(elements(io.TextIOWrapper(raw, encoding="utf-8"))):
+                    yield conversation(value, name, member) | {"archive_number": number, "position": f"{part}/{place:08d}/{i:012d}"}
 
-def members(spark: SparkSession, path: str) -> DataFrame:
-    """archive_member, path of every member of the nested archives."""
-    return _nested(archives(spark, path), MEMBER, lambda name, inner: ({"archive_member": name, "path": x} for x in inner.namelist()))
+    return _nested(unpacked, EXPORTED, rows)
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256_hex, size_bytes of files."""
-    return archives(spark, path).select("path", F.sha2("content", 256).alias("sha256_hex"), F.col("length").alias("size_bytes"))
+def members(unpacked: Unpacked) -> DataFrame:
+    """archive_number, archive_member, path of every member of the inner archives."""
+    return _nested(unpacked, MEMBER, lambda number, name, part, inner: ({"archive_number": number, "archive_member": name, "path": x} for x in inner.namelist()))
 
 
 def stage(spark: SparkSession, source: str, home: str, mode: str = "copy") -> str:

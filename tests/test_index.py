@@ -226,16 +226,127 @@ def test_backup_and_restore(spark, index, tmp_path):
     assert Index(spark, report["rollback"]).table("conversations").count() == 2
 
 
+def test_a_failed_backup_leaves_the_old_one(spark, index, tmp_path, monkeypatch):
+    from palimpsest.sources import backup
+
+    index.import_normalized(normalised(spark, conversation("1")))
+    index.backup(f"file://{tmp_path}/copy")
+    index.import_normalized(normalised(spark, conversation("2")))
+    monkeypatch.setattr(backup, "_fingerprint", lambda store: store.home)
+    with pytest.raises(OSError):
+        index.backup(f"file://{tmp_path}/copy", overwrite=True)
+    monkeypatch.undo()
+    assert Index(spark, f"file://{tmp_path}/copy").table("conversations").count() == 1
+    assert index.backup(f"file://{tmp_path}/copy", overwrite=True)["conversations"] == 2
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("copy")) == ["copy"]
+
+
 def test_bundles(spark, index, tmp_path):
     from palimpsest.sources import backup
 
     index.import_normalized(normalised(spark, conversation("1")))
-    bundle = tmp_path / "b.tgz"
-    backup.export_bundle(index.store, str(bundle))
-    assert bundle.stat().st_mode & 0o777 == 0o600
+    syncing.write_cursor(index, syncing.cursor_path(index, "codex"), 1.0)
+    syncing.write_cursor(index, syncing.cursor_path(index, "gemini"), 2.0)
+    export_zip(tmp_path / "x.zip")
+    exports.stage(spark, f"file://{tmp_path}/x.zip", index.store.home)
+    bundle = tmp_path / "bundle"
+    assert backup.export_bundle(index.store, f"file://{bundle}")["files"] > 3
+    assert bundle.stat().st_mode & 0o777 == 0o700
+    with pytest.raises(FileExistsError):
+        backup.export_bundle(index.store, f"file://{bundle}")
+    moved = bundle.rename(tmp_path / "moved")
     other = Index(spark, f"file://{tmp_path}/other", buckets=2)
-    backup.import_bundle(other.store, str(bundle))
+    other.import_normalized(normalised(spark, conversation("8")))
+    report = backup.import_bundle(other.store, f"file://{moved}")
     assert other.table("conversations").count() == 1 and other.table("messages").count() == 1
+    assert Index(spark, report["rollback"]).table("conversations").first().source_conversation_id == "8"
+    assert [syncing.read_cursor(other, syncing.cursor_path(other, p)) for p in ("codex", "gemini")] == [None, 2.0]
+    assert (tmp_path / "other/sources/x.zip").exists()
+    (moved / "sources/x.zip").write_bytes(b"tampered")
+    (moved / "sources/.x.zip.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="sources/x.zip"):
+        backup.verify_bundle(spark, f"file://{moved}")
+    (moved / "sources/x.zip").unlink()
+    with pytest.raises(ValueError, match="sources/x.zip"):
+        backup.verify_bundle(spark, f"file://{moved}")
+    (moved / "sources/added.zip").write_bytes(b"escaped")
+    with pytest.raises(ValueError, match="sources/added.zip"):
+        backup.import_bundle(other.store, f"file://{moved}")
+
+
+def test_of_repeated_conversations_the_last_copy_counts(spark, index, tmp_path):
+    say = lambda own, text, token="": {"message": {"id": own, "author": {"role": "user"}, "content": {"content_type": "text", "parts": [text + token]}, "create_time": 1.0}}
+    parts = []
+    for text, update in (("first words", 9.0), ("last words file_b", 1.0)):
+        inner = io.BytesIO()
+        with zipfile.ZipFile(inner, "w") as z:
+            items = [{"conversation_id": "c1", "title": text, "update_time": update, "mapping": {"a": say("m1", text)}}]
+            z.writestr("conversations-000.json", json.dumps(items))
+            z.writestr("conversations-001.json", json.dumps(items))
+            z.writestr("u/file_b.png", b"x")
+        parts.append(inner.getvalue())
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    for name, members in (("a.zip", parts), ("b.zip", [])):
+        with zipfile.ZipFile(folder / name, "w") as z:
+            for i, part in enumerate(members):
+                z.writestr(f"Conversations__x-{i}.zip", part)
+            z.writestr("readme.txt", "x")
+    report = index.import_archive(f"file://{folder}")
+    assert (report["conversations_indexed"], report["messages_indexed"], report["errors"]) == (1, 1, [])
+    assert index.table("conversations").first().title == "last words file_b" and index.table("messages").first().normalized_text == "last words file_b"
+    assert [a.source_ref for a in index.table("attachments").collect()] == ["file_b"]
+    import hashlib
+
+    ledger = {r.archive_path.rsplit("/", 1)[1]: r for r in index.table("archives").collect()}
+    assert {n: r.sha256_hex for n, r in ledger.items()} == {n: hashlib.sha256((folder / n).read_bytes()).hexdigest() for n in ("a.zip", "b.zip")}
+    assert ledger["a.zip"].size_bytes == (folder / "a.zip").stat().st_size and index.table("conversations").first().archive_id == ledger["a.zip"].id
+    assert not [p for p in (tmp_path / "home").iterdir() if p.name.startswith("unpacked")]
+
+
+def test_two_writers_do_not_lose_rows(spark, index):
+    from palimpsest.sources.store import ConcurrentWrite
+
+    index.import_normalized(normalised(spark, conversation("1")), reindex=False)
+    slow = Index(spark, index.store.home)
+    slow.store.begin()
+    index.import_normalized(normalised(spark, conversation("2")), reindex=False)
+    with pytest.raises(ConcurrentWrite):
+        slow.store.commit({"runs": slow.table("runs")})
+    claim = slow.store._claim(slow.store.manifest()["version"] + 1)
+    with pytest.raises(ConcurrentWrite):
+        index.import_normalized(normalised(spark, conversation("3")), reindex=False)
+    from palimpsest.sources.store import delete
+
+    delete(spark, claim)
+    index.import_normalized(normalised(spark, conversation("3")), reindex=False)
+    assert index.table("conversations").count() == 3 and len(index.store.versions()) == 3
+    assert index.store.vacuum() >= 0 and len(index.store.versions()) == 1 and index.table("conversations").count() == 3
+
+
+def test_buckets_double_when_they_get_large(spark, tmp_path, monkeypatch):
+    from palimpsest.sources import store
+
+    monkeypatch.setattr(store, "BUCKET_BYTES", 6_000)
+    index = Index(spark, f"file://{tmp_path}/home", buckets=1)
+    index.import_normalized(normalised(spark, conversation("1")), reindex=False)
+    index.import_normalized(normalised(spark, *(conversation(str(i)) for i in range(40))), reindex=False)
+    n = index.store.manifest()["buckets"]
+    assert n > 1 and n & (n - 1) == 0 and index.table("conversations").count() == 40 and index.table("messages").count() == 40
+    own = index.store.touched(index.table("conversations").where("source_conversation_id = '7'"))
+    assert len(own) == 1 and index.store.part("conversations", own).where("source_conversation_id = '7'").count() == 1
+    index.import_normalized(normalised(spark, conversation("7", text="new")), reindex=False)
+    assert index.table("conversations").count() == 40 and index.doctor()["integrity_check"] == "ok"
+
+
+def test_passes_write_only_the_buckets_of_their_targets(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/home", buckets=8)
+    index.import_normalized(normalised(spark, *(conversation(str(i)) for i in range(30))), reindex=False)
+    before = index.store.manifest()["tables"]["conversations"]
+    assert index.rebuild_summaries(limit=1) == 1 and index.rebuild_embeddings(limit=1) == 1
+    after = index.store.manifest()["tables"]["conversations"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert index.rebuild_embeddings(limit=1) == 0
 
 
 def test_access_tiers(spark, index):
