@@ -3,8 +3,8 @@
 A written index holds postings, one row a token: document, column, position, term. A query's phrases are found in one
 pass over the postings of its terms and one aggregation, whatever their number. Without a written index, texts are
 scanned: each document's phrases are found within its row, and nothing but the result is shuffled. Either way the boolean
-expression is then a column expression over each document's phrase counts. Scores need the corpus' row count and token total (kept with the index) and each
-phrase's document count (one small row a phrase).
+expression is then a column expression over each document's phrase counts. Scores need the corpus' row count and token
+total (kept with the index) and each phrase's document count, all scalar subqueries.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
@@ -198,6 +198,12 @@ def postings(texts: DataFrame) -> DataFrame:
     return texts.select("conversation_id", F.inline(each)).select("conversation_id", "col", F.posexplode("terms").alias("pos", "term"))
 
 
+def once(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
+    """df's kept columns and new ones that are computed once a row: a generator of one row stands between them and what
+    uses them, which the optimizer would else copy them into, wherever they are named."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def lengths(texts: DataFrame) -> DataFrame:
     """conversation_id, n: tokens of all columns, 0 where there are none."""
     return texts.select("conversation_id", reduce(lambda a, b: a + b, [F.size(X.tokens(F.col(c))) for c in COLUMNS]).cast("long").alias("n"))
@@ -266,25 +272,18 @@ def occurrences(rows: DataFrame, phrases: list[Phrase]) -> DataFrame:
     return starts.groupBy("conversation_id", "col", "phrase", "start").agg(F.countDistinct("place").alias("n")).where(F.col("n") == size[F.col("phrase")]).drop("n")
 
 
-def near_counts(found: list, phrases: tuple[int, ...], sizes: tuple[int, ...], distance: int) -> dict[int, int]:
-    """How many occurrences of each phrase stand near one of every other, in the same column: no more than distance
-    tokens between the end of the first and the start of the last."""
-    good: dict[int, set] = {p: set() for p in phrases}
-    columns = {x["col"] for x in found}
-    for col in columns:
-        lists = [sorted(x["start"] for x in found if x["col"] == col and x["phrase"] == p) for p in phrases]
-        if not all(lists):
-            continue
-        for i, own in enumerate(lists):
-            for start in own:
-                # each choice of the first phrase fixes how far the others may start
-                for j, others in enumerate(lists):
-                    for first in others if j != i else [start]:
-                        end = first + sizes[j]
-                        inside = [[s for s in x if first <= s <= end + distance] for x in lists]
-                        if first <= start <= end + distance and all(inside):
-                            good[phrases[i]].add((col, start))
-    return {p: len(s) for p, s in good.items()}
+def near(rows: DataFrame, phrases: tuple[int, ...], sizes: tuple[int, ...], distance: int) -> DataFrame:
+    """Of occurrences (conversation_id, col, phrase, start), those that stand near one of every other phrase, in the same
+    column: no more than distance tokens between the end of the first and the start of the last. One sorted sweep of each
+    document forward, for the next of each phrase, and one back, for how far the groups before reach."""
+    rows = rows.where(F.col("phrase").isin(*phrases))
+    size = F.create_map(*[F.lit(x) for pair in zip(phrases, sizes, strict=True) for x in pair])[F.col("phrase")]
+    column = Window.partitionBy("conversation_id", "col").orderBy("start")
+    ahead, behind = column.rangeBetween(Window.currentRow, Window.unboundedFollowing), column.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.col("start") + size + distance
+    whole = reduce(lambda a, b: a & b, [F.coalesce(F.min(F.when(F.col("phrase") == p, F.col("start"))).over(ahead) <= reach, F.lit(False)) for p in phrases])
+    reached = rows.withColumn("reach", F.when(whole, reach))
+    return reached.withColumn("reach", F.max("reach").over(behind)).where("start <= reach").drop("reach")
 
 
 def _count_of(phrase: int) -> Column:
@@ -311,10 +310,10 @@ def _hits_in(tokens: Column, column: str, number: int, phrase: Phrase) -> Column
 
 def _scanned(texts: DataFrame, phrases: list[Phrase]) -> DataFrame:
     """conversation_id, n, hits of every document, each found within its row."""
-    rows = texts.select("conversation_id", *[X.tokens(F.col(c)).alias(c) for c in COLUMNS])
+    rows = once(texts, ["conversation_id"], **{c: X.tokens(F.col(c)) for c in COLUMNS})
     found = [_hits_in(F.col(c), c, i, p) for i, p in enumerate(phrases) for c in COLUMNS if p.columns is None or c in p.columns]
     hits = F.concat(*found).cast(_HITS) if found else F.array().cast(_HITS)
-    return rows.select("conversation_id", reduce(lambda a, b: a + b, [F.size(c) for c in COLUMNS]).cast("long").alias("n"), hits.alias("hits"))
+    return once(rows, ["conversation_id"], n=reduce(lambda a, b: a + b, [F.size(c) for c in COLUMNS]).cast("long"), hits=hits)
 
 
 def matches(index: FullTextIndex, query: str) -> DataFrame:
@@ -329,20 +328,20 @@ def matches(index: FullTextIndex, query: str) -> DataFrame:
         # over the same rows, so that what was shuffled to make them is used again
         sizes = [F.coalesce(F.sum((c > 0).cast("long")), F.lit(0)) for c in counts]
         facts = every.select("n", "hits").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), *[x.alias(f"df{i}") for i, x in enumerate(sizes)])
+        of = lambda name: facts.select(name).scalar()
     else:
         per_doc = occurrences(index.postings, phrases).groupBy("conversation_id").agg(F.collect_list(F.struct("col", "phrase", "start")).alias("hits"))
         docs = per_doc.select("*", *counts)
         freq = docs.agg(*[F.coalesce(F.sum((F.col(f"f{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(phrases))])
         corpus = index.lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
-        facts = freq.join(F.broadcast(corpus))
+        of = lambda name: (freq if name.startswith("df") else corpus).select(name).scalar()
     # a phrase's document count is its own, whatever NEAR leaves of it
-    for number, (inside, distance) in enumerate(_nears(node)):
-        sizes = tuple(len(phrases[p].terms) for p in inside)
-        counter = F.udf(lambda hits, inside=inside, sizes=sizes, distance=distance: [near_counts(hits, inside, sizes, distance)[p] for p in inside], "array<int>")
-        docs = docs.withColumn(f"near{number}", counter("hits"))
-        docs = docs.withColumns({f"f{p}": F.col(f"near{number}")[k] for k, p in enumerate(inside)})
+    for inside, distance in _nears(node):
+        close = near(docs.select("conversation_id", F.inline("hits")), inside, tuple(len(phrases[p].terms) for p in inside), distance)
+        left = close.groupBy("conversation_id").agg(*[F.count_if(F.col("phrase") == p).alias(f"near{p}") for p in inside])
+        docs = docs.join(left, "conversation_id", "left").withColumns({f"f{p}": F.coalesce(f"near{p}", F.lit(0)) for p in inside})
     holds, counted = _condition(node)
-    docs = docs.where(holds).join(F.broadcast(facts))  # one row
+    docs = docs.where(holds).select("*", *[of(c).alias(c) for c in ("n_docs", "n_tokens", *(f"df{i}" for i in range(len(phrases))))])
     if index.texts is None:
         docs = docs.join(index.lengths, "conversation_id")
     spread = K1 * (1 - B + B * F.col("n") / (F.col("n_tokens") / F.col("n_docs")))

@@ -34,10 +34,7 @@ def stats(conversations: DataFrame, messages: DataFrame, attachments: DataFrame,
         jobs.agg(done("summary").alias("summaries_complete"), done("embedding").alias("embeddings_complete")),
         archives.agg(F.max_by("archive_path", "id").alias("archive_path")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(F.broadcast(part))  # one row each
-    return out
+    return parts[0].select("*", *[p.select(c).scalar().alias(c) for p in parts[1:] for c in p.columns])
 
 
 def invariants(tables: dict[str, DataFrame]) -> DataFrame:

@@ -16,6 +16,8 @@ from palimpsest.operators import fulltext as X
 from palimpsest.schema import RESULT_COLUMNS, SearchMode
 
 DEFAULT_LIMIT, RELATED_LIMIT = 25, 10
+#: Rows of a page up to which it is broadcast to the conversations it is joined with.
+BROADCAST_ROWS = 10_000
 
 
 class MissingQuery(ValueError):
@@ -87,7 +89,7 @@ def fts_search(conversations: DataFrame, index: X.FullTextIndex, o: SearchOption
     _, phrases = X.parse(o.query)
     top = X.matches(index, o.query).orderBy("score", "conversation_id").limit(o.rows())
     kept = [c for c in RESULT_COLUMNS if c in conversations.columns]
-    page = conversations.select(*kept, "transcript_text").join(F.broadcast(top), "conversation_id")  # one page
+    page = conversations.select(*kept, "transcript_text").join(F.broadcast(top) if o.rows() <= BROADCAST_ROWS else top, "conversation_id")
     page = filtered(page, o)
     if snippets:
         page = page.withColumn("snippet", X.snippet_col(F.col("transcript_text"), F.col("hits"), phrases))

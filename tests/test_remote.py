@@ -21,6 +21,36 @@ def test_push_twice_gives_one_conversation_and_a_cursor_for_the_destination(spar
     assert sync.read_cursor(here, sync.cursor_path(here, "codex", "http://other")) is None
 
 
+def test_executors_send_batches_to_a_server(spark, tmp_path):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            call = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            got.append(call["params"]["arguments"]["conversations"])
+            answer = json.dumps({"jsonrpc": "2.0", "id": 1, "result": {"ok": True}} if len(got) else {}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    (tmp_path / "r").mkdir()
+    for k in range(7):
+        (tmp_path / "r" / f"{k}.jsonl").write_text(lines([ROLLOUT[0] | {"payload": {"id": f"s-{k}"}}, *ROLLOUT[1:]]))
+    index = Index(spark, f"file://{tmp_path}/here", buckets=2)
+    report = remote.push(index, "codex", [str(tmp_path / "r")], f"http://127.0.0.1:{server.server_port}", size=3, now=1777593600.0, writers=2)
+    server.shutdown()
+    assert report["conversations_sent"] == 7 and sorted(c["source_conversation_id"] for b in got for c in b) == [f"s-{k}" for k in range(7)]
+    assert all(len(b) <= 3 for b in got) and got[0][0]["messages"][0]["text"] == "Fix  the\nparser"
+
+
 def test_backfill_drains_the_queue(spark, tmp_path):
     index = Index(spark, f"file://{tmp_path}/home", buckets=1)
     index.import_normalized(normalized.from_text(spark, json.dumps([conversation("1"), conversation("2"), conversation("3")])))
