@@ -87,6 +87,8 @@ def _near(side: str) -> str:
 
 
 _AND = _bm25([_term("term = 'thing'"), _term("term = 'from'")], "f0 > 0 AND f1 > 0")
+_PHRASE = _bm25(["SELECT a.conversation_id, count(*) AS f FROM post a JOIN post b ON a.conversation_id = b.conversation_id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1"], "f0 > 0")
+_NEAR = _bm25([_near("a"), _near("b")], "f0 > 0", None, [_term("term = 'thing'"), _term("term = 'from'")])
 
 
 def _targets(kind: str, where: str, chars: str, limit: int) -> str:
@@ -184,11 +186,11 @@ SELECT doc_id, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE x
     "fts_and": _AND,
     "fts_or": _bm25([_term("term = 'thing'"), _term("term = 'tion'")], "f0 > 0 OR f1 > 0"),
     "fts_not": _bm25([_term("term = 'tion'"), _term("term = 'thing'")], "f0 > 0 AND f1 = 0", [0]),
-    "fts_phrase": _bm25(["SELECT a.conversation_id, count(*) AS f FROM post a JOIN post b ON a.conversation_id = b.conversation_id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1"], "f0 > 0"),
+    "fts_phrase": _PHRASE,
     "fts_prefix": _bm25([_term("starts_with(term, 'thin')")], "f0 > 0"),
     "fts_column": _bm25([_term("term = 'the' AND col = 'title'")], "f0 > 0"),
     "fts_initial": _bm25([_term("term = 'user' AND pos = 0")], "f0 > 0"),
-    "fts_near": _bm25([_near("a"), _near("b")], "f0 > 0", None, [_term("term = 'thing'"), _term("term = 'from'")]),
+    "fts_near": _NEAR,
     "cosine_knn": KNN.format(own=0, where="", limit=25),
     "related": KNN.format(own=7, where="WHERE vec_id <> 7", limit=10),
     "hashed_embedding": f"WITH {CONV}, {HASHED.format(text='transcript_text', rows='conv')} SELECT conversation_id, bucket, weight FROM hashed WHERE weight <> 0",

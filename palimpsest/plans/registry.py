@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from palimpsest.plans.oracles import ORACLES
-from palimpsest.plans.queries import QUERIES
+from palimpsest.plans import oracles, queries as plain, staged_oracles
+from palimpsest.plans import staged as staged  # registers its queries
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return dict(plain.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return oracles.ORACLES | staged_oracles.ORACLES

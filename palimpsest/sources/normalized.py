@@ -70,6 +70,11 @@ def read(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame
     return spark.read.text(path).where("trim(value) <> ''").mapInPandas(_rows_of, schema.NORMALIZED)
 
 
+def parsed(texts: DataFrame) -> DataFrame:
+    """From a column value of JSON texts: an object or an array each."""
+    return texts.select("value").mapInPandas(_rows_of, schema.NORMALIZED)
+
+
 def _rows_of(batches):
     import pandas as pd
 
