@@ -59,10 +59,10 @@ SELECT conversation_id, source, source_instance, 'T' || conv_id AS title, max(ti
     "normalized_messages": f"WITH {TURNS}, {NORMAL} SELECT conversation_id, 'm' || turn AS message_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index, time AS create_time FROM n",
     "repeated_in_one_batch": f"WITH {TURNS}, {NORMAL} SELECT conversation_id, 'T' || conv_id AS title, max(time) AS update_time FROM n GROUP BY conv_id, conversation_id",
     "colliding_messages": f"WITH {TURNS}, {NORMAL} SELECT conversation_id FROM n GROUP BY conv_id, conversation_id HAVING count(*) > 1 AND conversation_id LIKE '%5'",
-    "index_after_reimport": f"""WITH {TURNS}, {NORMAL} SELECT DISTINCT conversation_id, CASE WHEN conv_id % 6 = 0 THEN 'new T' ELSE 'T' END || conv_id AS title, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS archive_id,
+    "index_after_reimport": f"""WITH {TURNS}, {NORMAL} SELECT DISTINCT conversation_id, CASE WHEN conv_id % 6 = 0 THEN 'new T' ELSE 'T' END || conv_id AS title, CAST(CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS archive_id,
   conv_id % 6 <> 0 AS summarised, CASE WHEN conv_id % 6 <> 0 THEN 'extractive-v1' END AS summary_model FROM n""",
     "index_queue_after_reimport": f"""WITH {TURNS}, {NORMAL}, k AS (SELECT DISTINCT conv_id, conversation_id FROM n)
-SELECT conversation_id, 'summary' AS kind, CASE WHEN conv_id % 6 = 0 THEN 'pending' ELSE 'complete' END AS status, 1 AS attempts, true AS was_completed FROM k
+SELECT conversation_id, 'summary' AS kind, CASE WHEN conv_id % 6 = 0 THEN 'pending' ELSE 'complete' END AS status, CAST(1 AS BIGINT) AS attempts, true AS was_completed FROM k
 UNION ALL SELECT conversation_id, 'embedding', 'pending', 0, false FROM k""",
     "index_from_backup": f"""WITH {TURNS}, {NORMAL} SELECT conversation_id, 'm' || turn AS message_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index FROM n
 UNION ALL SELECT 'run', 'normalized_import', 'complete', 1""",
@@ -73,7 +73,7 @@ SELECT conversation_id, 'T3' AS title, 'desk' AS source_instance, string_agg(k |
     "invariant_violations": f"""WITH {JOBS}, kept AS (SELECT conversation_id FROM conv WHERE conv_id % 5 <> 1), twice AS (SELECT count(*) AS n FROM conv WHERE conv_id % 10 = 2)
 SELECT 'conversations.conversation_id unique' AS "check", n AS violations FROM twice UNION ALL SELECT 'conversations identity unique', n FROM twice
 UNION ALL SELECT 'messages unique', count(*) FROM msg WHERE message_id LIKE '%-1' UNION ALL SELECT 'attachments unique', 0 UNION ALL SELECT 'jobs unique', 0
-UNION ALL SELECT 'messages have conversations', sum(CASE WHEN message_id LIKE '%-1' THEN 2 ELSE 1 END) FROM msg WHERE conversation_id NOT IN (SELECT conversation_id FROM kept)
+UNION ALL SELECT 'messages have conversations', CAST(coalesce(sum(CASE WHEN message_id LIKE '%-1' THEN 2 ELSE 1 END), 0) AS BIGINT) FROM msg WHERE conversation_id NOT IN (SELECT conversation_id FROM kept)
 UNION ALL SELECT 'attachments have conversations', count(*) FROM msg WHERE conversation_id NOT IN (SELECT conversation_id FROM kept)
 UNION ALL SELECT 'jobs have conversations', count(*) FROM jobs WHERE conversation_id NOT IN (SELECT conversation_id FROM kept)""",
     "input_windows": f"""WITH {ASCII} SELECT doc_id, sha256(substring(text, 1, 300)) AS head_sha256,
@@ -85,7 +85,7 @@ l AS (SELECT doc_id, CASE WHEN w[len(w)] = '' THEN w[1:len(w) - 1] ELSE w END AS
 c AS (SELECT doc_id, w, 1 AS i, 0 AS k, 0 AS used FROM l UNION ALL
   SELECT doc_id, w, i + 1, CASE WHEN used + length(w[i]) + 1 > 400 THEN k + 1 ELSE k END, CASE WHEN used + length(w[i]) + 1 > 400 THEN length(w[i]) + 1 ELSE used + length(w[i]) + 1 END FROM c WHERE i <= len(w)),
 s AS (SELECT doc_id, k, max(used) AS size FROM c WHERE i > 1 GROUP BY 1, 2)
-SELECT doc_id, count(*) AS n_chunks, max(size) AS longest FROM s GROUP BY 1""",
+SELECT doc_id, count(*) AS n_chunks, CAST(max(size) AS BIGINT) AS longest FROM s GROUP BY 1""",
     "json_responses": """SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN '{"id": ' || doc_id || '}' END AS found FROM documents""",
     "asset_index": """WITH p AS (SELECT DISTINCT 'd' || (doc_id % 3) || '/file_' || (doc_id % 40) || '-a/file_' || (doc_id % 2) || '.png' AS path, 'file_' || (doc_id % 40) || '-a' AS a, 'file_' || (doc_id % 2) AS b FROM documents)
 SELECT token, string_agg(path, ',' ORDER BY path) AS paths FROM (SELECT a AS token, path FROM p UNION SELECT b, path FROM p) GROUP BY 1""",
