@@ -59,7 +59,7 @@ class Words(dict):
     """Lower-cased token to (weight in the learned lexicon, code); code bits: 1 insult, 2 second person, 4 odd, 8
     stretched, 16 disguised. Bounded: emptied when full."""
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 400_000):
+    def __init__(self, lexicon: dict[str, float], limit: int = 100_000):
         super().__init__()
         self.lexicon, self.limit = lexicon, limit
 
