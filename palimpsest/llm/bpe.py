@@ -38,13 +38,22 @@ class Encoder:
         self.tokens = {rank: token for token, rank in table.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in table.items():
-            self.automaton.add_word(token.decode("latin-1"), len(token))
+            self.automaton.add_word(token.decode("latin-1"), (len(token) - 1, rank))
         self.automaton.make_automaton()
+        self.length = {rank: len(token) for token, rank in table.items()}
+        self.shorter: dict[int, int] = {}
         self.apart: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, bool], list[int]] = {}
         self.pieces: dict[str, list[int]] = {}
         self.most_pieces, self.most_pairs = cache, pairs
 
+    def _next_shorter(self, rank: int) -> int:
+        """The longest token that this one starts with, other than itself; -1 if there is none."""
+        if (known := self.shorter.get(rank)) is None:
+            token = self.tokens[rank]
+            known = self.shorter[rank] = next((self.table[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.table), -1)
+        return known
+
     def _halves(self, rank: int) -> tuple[int, int] | None:
         """The two tokens that are merged into this one; None for a byte, or a token that merges don't reach."""
         token = self.tokens[rank]
@@ -93,33 +102,31 @@ class Encoder:
         if (whole := self.table.get(piece)) is not None and len(piece) < 3:
             return [whole]
         n = len(piece)
-        longest = [0] * n
-        for end, size in self.automaton.iter(piece.decode("latin-1")):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
+        longest = [-1] * (n + 1)
+        for end, (back, rank) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - back] = rank  # matches come by their ends, so the last at a place is the longest
         dead = bytearray(n + 1)
         out: list[int] = []
-        starts: list[int] = []
-        at, size = 0, longest[0] if n else 0
+        at, rank, last = 0, longest[0], -1
+        length, shorter, apart = self.length, self.shorter, self.apart
         while at < n:
-            while size:
-                rank = self.table.get(piece[at : at + size])
-                if rank is not None and not dead[at + size] and (not out or self.compatible(out[-1], rank)):
-                    break
-                size -= 1
-            if size:
+            while rank >= 0:
+                if not dead[at + length[rank]]:
+                    known = True if last < 0 else apart.get((last, rank))
+                    if known or (known is None and self.compatible(last, rank)):
+                        break
+                rank = shorter[rank] if rank in shorter else self._next_shorter(rank)
+            if rank >= 0:
                 out.append(rank)
-                starts.append(at)
-                at += size
-                size = longest[at] if at < n else 0
+                at += length[rank]
+                last, rank = rank, longest[at]
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
                 dead[at] = 1
-                end, at = at, starts.pop()
-                out.pop()
-                size = end - at - 1
+                rank = out.pop()
+                at -= length[rank]
+                rank, last = self._next_shorter(rank), out[-1] if out else -1
         return out
 
     def encode(self, text: str) -> list[int]:
