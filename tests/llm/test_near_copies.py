@@ -84,3 +84,48 @@ def test_clashing_columns(spark, sf, frame):
     docs = docs.withColumns({c: F.lit("x") for c in ("__own", "__text", "__row", "__id", "__kept", "own", "key", "n", "row", "first", "root", "hash", "t", "node", "sig", "keys")})
     left = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
     assert left.columns == docs.columns and sorted((str(r.doc_id), r.text, r.key) for r in left.collect()) == [("1", "some text", "x"), ("2", None, "x"), ("None", "other words here", "x")]
+
+
+def test_every_pair_of_the_tables_at_the_bound_is_linked(spark):
+    """All pairs of different texts of sf0.1 with five-word similarity 0.8 or more, by an inverted index of shingles, share
+    a group; groups hold nothing that such links don't hold together."""
+    from collections import Counter, defaultdict
+
+    from pyspark.sql import functions as F
+
+    from palimpsest.llm import _jaccard, simhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sets = {}
+    for (text,) in docs.select("text").distinct().where("text is not null").collect():
+        w = text.encode().lower().split()
+        if w:
+            sets[text] = {b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    names, by = list(sets), defaultdict(list)
+    for i, name in enumerate(names):
+        for s in sets[name]:
+            by[s].append(i)
+    met = Counter((a, b) for own in by.values() if 1 < len(own) <= 200 for k, a in enumerate(own) for b in own[k + 1 :])
+    linked = [(a, b) for a, b in met if 10 * len(sets[names[a]] & sets[names[b]]) >= 8 * len(sets[names[a]] | sets[names[b]])]
+    body = F.coalesce("text", F.lit(""))
+    rows = _jaccard.grouped(docs.select(F.xxhash64(body).alias("t"), body.alias("text")), lambda x: simhash.shingle_set(x, 5), 0.8)
+    root = {r.t: r.root for r in rows.select("t", "root").distinct().collect()}
+    own = {r.text: r.t for r in docs.select("text", F.xxhash64(body).alias("t")).distinct().collect()}
+    group = [root[own[name]] for name in names]
+    different = [(a, b) for a, b in linked if sets[names[a]] != sets[names[b]]]
+    found = sum(group[a] == group[b] for a, b in linked)
+    print("pairs", len(linked), "of different sets", len(different), "found", found)
+    assert len(linked) > 40 and found == len(linked)
+    parent = list(range(len(names)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in linked:
+        parent[top(a)] = top(b)
+    by_group = defaultdict(set)
+    for i, g in enumerate(group):
+        by_group[g].add(top(i))
+    assert all(len(tops) == 1 for tops in by_group.values())
