@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +54,10 @@ def beginnings(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)] if len(word) > 2 else []
 
 
+#: What a word without weight and code is; most are, and they share it.
+PLAIN = (0.0, 0)
+
+
 class Words(dict):
     """Lower-cased token to (weight in the learned lexicon, code); code bits: 1 insult, 2 second person, 4 odd, 8
     stretched, 16 disguised. Bounded: emptied when full."""
@@ -71,16 +74,24 @@ class Words(dict):
         inner = token.strip(".,;:!?\"'()[]{}")
         odd = bool(inner) and not inner.isalpha() and any(c.isalpha() for c in inner)
         code = (word in INSULTS) | (word in SECOND_PERSON) << 1 | odd << 2 | any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2)) << 3 | (odd and (word in INSULTS or weight >= STRONG)) << 4
-        self[token] = out = (weight, code)
+        self[token] = out = (weight, code) if weight or code else PLAIN
         return out
 
 
+def _is_mark(code: int) -> bool:
+    return not (chr(code).isalnum() or chr(code).isspace())
+
+
+#: Whether a character is neither a letter, a digit nor white space, by its number; of higher ones one asks.
+MARKS = np.array([_is_mark(code) for code in range(0x3000)])
+
+
 def features(text: str, words: Words) -> list[float]:
     tokens = text.lower().split()
     n = len(tokens)
-    found = list(map(words.__getitem__, tokens))
-    hits = [(w, tokens[i], i) for i, (w, c) in enumerate(found) if w > WEAK or c & 1]
-    person = [i for i, (_, c) in enumerate(found) if c & 2]
+    special = [(i, x) for i, x in enumerate(map(words.__getitem__, tokens)) if x is not PLAIN]
+    hits = [(w, tokens[i], i) for i, (w, c) in special if w > WEAK or c & 1]
+    person = [i for i, (_, c) in special if c & 2]
     strong = [x for x in hits if x[0] >= STRONG]
     near = 0
     if person and hits:
@@ -89,16 +100,19 @@ def features(text: str, words: Words) -> list[float]:
         where = np.array([i for _, _, i in hits])
         near = int((np.minimum(where - pad[at], pad[at + 1] - where) <= NEAR).sum())
     best = sorted({plain_word(t): w for w, t, _ in hits}.values(), reverse=True)[:3] + [0.0] * 3
-    codes = [c for _, c in found if c > 3 or c & 1]
+    codes = [c for _, (_, c) in special if c > 3 or c & 1]
     insults = sum(c & 1 for c in codes)
     letters = sum(map(str.isalpha, text[:1])) + max(1, len(text))  # at least one, so that rates of empty texts are 0
-    upper = sum(map(ne, text, text.lower())) if not text.islower() else 0
+    codes_of = lambda t: np.frombuffer(t.encode("utf-32-le"), dtype="<u4")
+    characters, lower = codes_of(text), codes_of(text.lower())
+    both = min(len(characters), len(lower))
+    upper = int((characters[:both] != lower[:both]).sum())
     shouted = sum(1 for t in text.split() if len(t) > 3 and t.isupper())
-    marks = Counter(text)
-    punctuation = sum(v for k, v in marks.items() if not k.isalnum() and not k.isspace())
+    near_end = characters < len(MARKS)
+    punctuation = int(MARKS[characters[near_end]].sum()) + sum(map(_is_mark, characters[~near_end].tolist()))
     return [
         math.log1p(n), insults, insults / (n + 1), len(strong), len(strong) / (n + 1), len({plain_word(t) for _, t, _ in strong}), len(hits) / (n + 1), *best[:3], near, len(person) / (n + 1),
-        upper / letters, shouted / (n + 1), marks["!"] / letters, marks["?"] / letters, punctuation / letters,
+        upper / letters, shouted / (n + 1), text.count("!") / letters, text.count("?") / letters, punctuation / letters,
         sum(c >> 2 & 1 for c in codes) / (n + 1), sum(c >> 3 & 1 for c in codes) / (n + 1), sum(c >> 4 & 1 for c in codes),
     ]
 
