@@ -22,6 +22,7 @@ from palimpsest.plans import adapter
 from palimpsest.plans.queries import QUESTION, query
 from palimpsest.sources import exports, normalized, providers
 from palimpsest.sources.store import delete
+from palimpsest.streaming import sync as syncing
 
 #: Conversations to an inner archive of the staged export.
 PART = 64
@@ -220,8 +221,8 @@ def content_texts(spark, sf_dir):
 # --- normalized conversations and the store ----------------------------------------------------------------------
 
 
-def _normalized(spark, sf_dir, title: Column | None = None) -> DataFrame:
-    """The tables' conversations as JSON lines, read by the reader."""
+def _json_lines(spark, sf_dir, title: Column | None = None) -> DataFrame:
+    """The tables' conversations, one JSON object a row."""
     message = F.struct(F.concat(F.lit("m"), "turn").alias("message_id"), "role", F.col("time").alias("create_time"), "text")
     rows = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("turns"), F.max("time").alias("update_time"))
     title = F.concat(F.lit("T"), "conv_id") if title is None else title
@@ -229,7 +230,12 @@ def _normalized(spark, sf_dir, title: Column | None = None) -> DataFrame:
         F.when(F.col("conv_id") % 2 == 0, "chatgpt").otherwise("grok").alias("source"), F.when(F.col("conv_id") % 3 == 0, "desk").alias("source_instance"), F.col("conv_id").cast("string").alias("source_conversation_id"),
         title.alias("title"), "update_time", F.transform("turns", lambda t: t["m"]).alias("messages"), F.struct(F.col("conv_id").alias("k")).alias("raw"),
     ))
-    return normalized.parsed(rows.select(item.alias("value")))
+    return rows.select(item.alias("value"))
+
+
+def _normalized(spark, sf_dir, title: Column | None = None) -> DataFrame:
+    """The tables' conversations as the reader of JSON lines gives them."""
+    return normalized.parsed(_json_lines(spark, sf_dir, title))
 
 
 @query
@@ -301,6 +307,23 @@ def index_from_backup(spark, sf_dir):
     return _from_index(spark, rows)
 
 
+@query
+def streamed_conversations(spark, sf_dir):
+    """Files of JSON lines, streamed into an index in two runs with one checkpoint: the second takes only the new file,
+    whose conversations come again under other titles."""
+
+    def rows(home: str) -> DataFrame:
+        index = Index(spark, f"{home}/index", buckets=2)
+        other = _json_lines(spark, sf_dir, F.concat(F.lit("new T"), "conv_id")).where(F.get_json_object("value", "$.raw.k").cast("long") % 6 == 0)
+        for lines in (_json_lines(spark, sf_dir), other):
+            lines.coalesce(2).write.mode("append").text(f"{home}/in")
+            syncing.stream_normalized(index, f"{home}/in", f"{home}/progress").start().awaitTermination()
+        ledger = index.table("archives").agg(F.sum("size_bytes").alias("n_taken"))
+        return index.table("conversations").select("conversation_id", "title", "message_count", ledger.scalar().alias("n_taken"))
+
+    return _from_index(spark, rows)
+
+
 @query
 def index_get_conversation(spark, sf_dir):
     """One stored conversation by id, with messages, raw payload and attachments."""

@@ -66,6 +66,8 @@ SELECT conversation_id, 'summary' AS kind, CASE WHEN conv_id % 6 = 0 THEN 'pendi
 UNION ALL SELECT conversation_id, 'embedding', 'pending', 0, false FROM k""",
     "index_from_backup": f"""WITH {TURNS}, {NORMAL} SELECT conversation_id, 'm' || turn AS message_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index FROM n
 UNION ALL SELECT 'run', 'normalized_import', 'complete', 1""",
+    "streamed_conversations": f"""WITH {TURNS}, {NORMAL} SELECT conversation_id, CASE WHEN conv_id % 6 = 0 THEN 'new T' ELSE 'T' END || conv_id AS title, count(*) AS message_count,
+  (SELECT count(DISTINCT conv_id) + count(DISTINCT CASE WHEN conv_id % 6 = 0 THEN conv_id END) FROM n) AS n_taken FROM n GROUP BY conv_id, conversation_id""",
     "index_get_conversation": f"""WITH {TURNS}, {NORMAL}, o AS (SELECT *, row_number() OVER (ORDER BY turn) - 1 AS k FROM n WHERE conv_id = 3)
 SELECT conversation_id, 'T3' AS title, 'desk' AS source_instance, string_agg(k || ':m' || turn || ':' || role, ',' ORDER BY k) AS messages, '{{"k": 3}}' AS raw_json, CAST(0 AS INTEGER) AS n_attachments FROM o GROUP BY conversation_id""",
     "written_summaries": f"""WITH {CONV} SELECT conversation_id, CASE WHEN e THEN 'about ' || conv_id END AS abstract, CASE WHEN e THEN 'm1' END AS summary_model, CASE WHEN e THEN 'employer_sensitive' ELSE risk_flags END AS risk_flags,
