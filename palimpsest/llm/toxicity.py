@@ -9,8 +9,9 @@ scored whole.
 Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts are scored like any text of no words; rows with a null label don't train; of
-labels that repeat an id the largest counts; without labels of both kinds every score is the share of toxic labels
-(0 without any); repeated rows get equal scores; an empty table gives no rows; extra columns are ignored.
+labels that repeat an id the largest counts, of documents that repeat one the least text trains; without labels of both
+kinds every score is the share of toxic labels (0 without any); repeated rows get equal scores; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,11 +57,13 @@ def beginnings(word: str) -> list[str]:
 
 #: What a word without weight and code is; most are, and they share it.
 PLAIN = (0.0, 0)
+#: Characters of the longest token whose judgement is kept.
+LONG = 64
 
 
 class Words(dict):
     """Lower-cased token to (weight in the learned lexicon, code); code bits: 1 insult, 2 second person, 4 odd, 8
-    stretched, 16 disguised. Bounded: emptied when full."""
+    stretched, 16 disguised. Bounded: emptied when full, and long tokens aren't kept."""
 
     def __init__(self, lexicon: dict[str, float], limit: int = 400_000):
         super().__init__()
@@ -74,7 +77,9 @@ class Words(dict):
         inner = token.strip(".,;:!?\"'()[]{}")
         odd = bool(inner) and not inner.isalpha() and any(c.isalpha() for c in inner)
         code = (word in INSULTS) | (word in SECOND_PERSON) << 1 | odd << 2 | any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2)) << 3 | (odd and (word in INSULTS or weight >= STRONG)) << 4
-        self[token] = out = (weight, code) if weight or code else PLAIN
+        out = (weight, code) if weight or code else PLAIN
+        if len(token) <= LONG:
+            self[token] = out
         return out
 
 
@@ -139,13 +144,13 @@ def _fold(col: str):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """text, toxic, calibrate of at most sample labelled rows outside the held-out fold."""
+    """text, toxic, calibrate of at most sample labelled rows outside the held-out fold, one for each id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(_fold("doc_id") != 0)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("calibrate", _fold("doc_id") == 1)
     chosen = chosen.select(F.col("doc_id").alias("__id"), "toxic", "calibrate")
     texts = docs.select(F.col(id_col).alias("__doc"), _common.text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))  # sample rows at most
-    return texts.select("text", "toxic", "calibrate")
+    return texts.groupBy("__id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("calibrate").alias("calibrate")).select("text", "toxic", "calibrate")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:

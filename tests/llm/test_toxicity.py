@@ -159,3 +159,20 @@ def test_features_by_hand():
     length = len("You, zorkish ONE! sooo b4d? idiot far far far far far far your end") + 1
     assert x["capitals"] == 4 / length and x["exclaims"] == 1 / length and x["questions"] == 1 / length and x["punctuation"] == 3 / length
     assert x["shouted"] == 1 / (n + 1) and x["odd_words"] == 1 / (n + 1) and x["stretched"] == 1 / (n + 1) and x["disguised"] == 0
+
+
+def test_repeated_ids_train_once(spark, frame):
+    rows, labels = corpus()
+    hot = next(i for i, _, y in labels if not held_out(i) and y)
+    table = spark.createDataFrame(labels, LABELS)
+    again = [(hot, dict(rows)[hot] + f" z{k}") for k in range(300)]
+    train = T.training_rows(frame([*rows, *again]), table, "doc_id", "text", 50_000).collect()
+    assert len(train) == sum(not held_out(i) for i, _, _ in labels)
+    assert [r.text for r in train].count(dict(rows)[hot]) == 1 and not any(r.text in dict(again).values() for r in train)
+
+
+def test_long_tokens_are_judged_but_not_kept():
+    words = T.Words({"zork*": 9.0})
+    long = "zork" + "a" * 500
+    assert words[long] == words[long] and words[long][0] == 9.0 and long not in words
+    assert words["zorkface"][0] == 9.0 and "zorkface" in words
