@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that become Python objects at a time.
-SLICE_ROWS = 256
-#: Rows of an Arrow batch sent to a Python worker; keeps batches of long texts small.
-BATCH_ROWS = 1024
+#: Rows of an Arrow batch that become Python objects at a time, and about how many bytes of them at most.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+#: Rows of an Arrow batch sent to a Python worker, and about how many bytes at most; keeps batches of long texts small.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -28,6 +28,7 @@ def prepare(spark: SparkSession) -> None:
     if ROOT not in ":".join(paths).split(":"):
         env["PYTHONPATH"] = ":".join([ROOT, *paths[:1]])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,10 +93,17 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str) -> Dat
     return spread.unionByName(left.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of at most that many rows and bytes, of one row at least; in order, nothing left out."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch.slice(at, rows) for at in reversed(range(0, batch.num_rows, rows))]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def text_or_empty(name: str = "text"):
