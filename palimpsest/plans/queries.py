@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from palimpsest.functions import vectors as V
 from palimpsest.operators import fulltext, health, jobs, search, upsert
 from palimpsest.operators.search import SearchOptions
 from palimpsest.plans import adapter
+from palimpsest.session import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: A query text of which both search legs find something at every scale.
@@ -20,8 +22,13 @@ FIRST, LAST = 1_700_030_000.0, 1_700_300_000.0
 
 
 def query(function):
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def listed(column: str | Column) -> Column:
