@@ -8,7 +8,10 @@ from typing import BinaryIO
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest import schema
+from palimpsest.session import small_batches
 
+#: Conversations, and characters of their JSON, that are Python objects at a time; one text's are parsed together.
+SLICE_ROWS, SLICE_CHARS = 128, 1 << 20
 REQUIRED = ("source", "source_conversation_id", "title")
 REQUIRED_MESSAGE = ("message_id", "role", "text")
 
@@ -55,6 +58,7 @@ def from_stream(spark: SparkSession, stream: BinaryIO, n_bytes: int | None = Non
 def read(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
     """From files. lines: one object a line, which splits large files; unset, the first character decides: an array
     is read whole, anything else by lines, and by lines that fail, whole."""
+    small_batches(spark)
     start = spark.read.text(path).select("value").where("trim(value) <> ''").first()
     by_line = lines
     if by_line is None:
@@ -72,6 +76,7 @@ def read(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame
 
 def parsed(texts: DataFrame) -> DataFrame:
     """From a column value of JSON texts: an object or an array each."""
+    small_batches(texts.sparkSession)
     return texts.select("value").mapInPandas(_rows_of, schema.NORMALIZED)
 
 
@@ -79,8 +84,16 @@ def _rows_of(batches):
     import pandas as pd
 
     for batch in batches:
-        rows = []
+        rows, size = [], 0
         for text in batch["value"]:
             value = json.loads(text)
-            rows += [checked(x) for x in (value if isinstance(value, list) else [value])]
-        yield pd.DataFrame(rows, columns=schema.NORMALIZED.names)
+            items = value if isinstance(value, list) else [value]
+            share = len(text) / max(1, len(items))
+            for item in items:
+                rows.append(checked(item))
+                size += share
+                if len(rows) >= SLICE_ROWS or size >= SLICE_CHARS:
+                    yield pd.DataFrame(rows, columns=schema.NORMALIZED.names)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=schema.NORMALIZED.names)

@@ -1,5 +1,7 @@
 """Python workers get small batches, whatever the partitions' size."""
 
+import json
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -43,3 +45,18 @@ def test_batches_of_registered_queries_are_bounded(unbounded, sf):
         assert sum(n for n, _ in found) == rows
         assert max(n for n, _ in found) <= BATCH_ROWS and max(own) <= BATCH_ROWS
         assert max(b for _, b in found) <= BATCH_BYTES + 2 * size and max(own) * size <= BATCH_BYTES + 2 * size
+
+
+def test_an_index_bounds_batches_and_parsed_rows_come_in_slices(unbounded, tmp_path):
+    """500 conversations in one batch, of one text each or of one array, leave in slices; nothing is lost."""
+    from palimpsest.api import Index
+    from palimpsest.sources import normalized
+
+    Index(unbounded, str(tmp_path / "index"))
+    assert int(unbounded.conf.get(ROWS)) <= BATCH_ROWS and int(unbounded.conf.get(BYTES)) <= BATCH_BYTES
+    item = lambda i: {"source": "grok", "source_conversation_id": str(i), "title": "t", "messages": [{"message_id": "m", "role": "user", "text": "x" * 20_000}]}
+    for texts in ([json.dumps(item(i)) for i in range(500)], [json.dumps([item(i) for i in range(500)])], [json.dumps([]), json.dumps(item(0))]):
+        made = list(normalized._rows_of(iter([pd.DataFrame({"value": texts})])))
+        n = 500 if len(texts) != 2 else 1
+        assert [x for rows in made for x in rows["source_conversation_id"]] == [str(i) for i in range(n)]
+        assert max(len(rows) for rows in made) <= 60  # about a megabyte
