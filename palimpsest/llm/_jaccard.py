@@ -1,8 +1,12 @@
 """Groups of texts whose sets of word shingles have a Jaccard similarity of at least a bound.
 
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` least hashes each, one key a band. Two sets at similarity 0.8
-share no key with a probability of 7 in a million. Every candidate is then held against the exact similarity of the whole
-sets before it links; nothing else does. Groups are the components of the links.
+Candidates come from SimHash fingerprints. One is of all the text's shingles; those within two bits of each other are
+found by op3's pigeonring filter. As two texts at similarity 0.8 differ in about 10 bits there, a text has ``BANDS``
+fingerprints more, each the SimHash of a sample of ``ROWS`` shingles, drawn by least hashes so that similar sets draw
+alike. One other shingle in a sample changes 12 bits of its fingerprint in the mean, so a radius would add nothing: with
+none the pigeonring has one segment of all bits and one key a fingerprint. Two sets at similarity 0.8 share none of these
+with a probability of 7 in a million. Every candidate is then held against the exact similarity of the whole sets before
+it links; nothing else does. Groups are the components of the links.
 
 Texts of equal sets are one node. Candidates are taken in two passes. In the first, each key's nodes are held against a
 centre they resemble by one byte of each least hash, so that a clique of n costs n pairs. In the second, the keys whose
@@ -23,11 +27,14 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import _common
 from palimpsest.llm._components import components
+from palimpsest.llm._ring import links, majority, mixed
 
 BANDS, ROWS, BLOCK = 30, 5, 256
 _RNG = np.random.default_rng(20)
 _FLIPS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+#: Makes a sample's fingerprint a key of its own.
+_TAGS = mixed(np.arange(BANDS, dtype=np.uint64), 2)
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -38,25 +45,44 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def sampled_fingerprints(least: np.ndarray) -> np.ndarray:
+    """The SimHash of each of BANDS samples: a bit is set if more than half of the sample's ROWS shingles set it."""
+    votes = np.unpackbits(mixed(least, 1).astype("<u8").view(np.uint8).reshape(BANDS, ROWS, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.uint8)
+    return np.packbits(2 * votes > ROWS, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def _described(docs: DataFrame, sets) -> DataFrame:
-    """docs: columns and text last. Adds node (the set's hash), n, sig and keys in its place."""
+    """docs: columns and text last. Adds node (the set's hash), n, fp (the SimHash of all its shingles, 0 of none), sig
+    and keys (those of its samples) in its place."""
     names = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.slices(batches):
-            node, n, sig, keys = [], [], [], []
+            node, n, fp, sig, keys = [], [], [], [], []
             for text in batch.column(len(names)).to_pylist():
                 own = sets(text)
                 least = least_hashes(own)
                 node.append(xxhash.xxh64_intdigest(own.tobytes()))
                 n.append(len(own))
+                fp.append(majority(own) if len(own) else 0)
                 sig.append((least >> np.uint64(56) ^ least >> np.uint64(20)).astype(np.uint8).tobytes())
-                keys += [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), lists], names=[*names, "node", "n", "sig", "keys"])
+                keys.append((sampled_fingerprints(least) ^ _TAGS).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(sig, pa.binary()), lists], names=[*names, "node", "n", "fp", "sig", "keys"])
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes[:-1])
-    return docs.mapInArrow(run, f"{kinds}, node long, n int, sig binary, keys array<long>")
+    return docs.mapInArrow(run, f"{kinds}, node long, n int, fp long, sig binary, keys array<long>")
+
+
+def ring_pairs(nodes: DataFrame) -> DataFrame:
+    """u, v: nodes (node, fp) whose fingerprints are equal, each with the least, or linked by the pigeonring filter."""
+    first = _common.checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("same")))
+    again = first.where("same > 1")
+    same = _common.join_counted(nodes.select("node", "fp").join(again.select("fp"), "fp", "left_semi"), again, "fp", "same").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    found = _common.checkpoint(links(first.select(F.lit(0).alias("j"), "fp")))
+    at = lambda side: first.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_node"))
+    linked = found.select("u", "v").join(at("u"), "u").join(at("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    return same.unionByName(linked)
 
 
 def _centred(groups: DataFrame, bound: float) -> DataFrame:
@@ -138,7 +164,7 @@ def grouped(docs: DataFrame, sets, bound: float) -> DataFrame:
     spark = docs.sparkSession
     _common.prepare(spark)
     rows, drop_rows = _common.stored(_described(docs, sets))
-    nodes = _common.checkpoint(rows.select("node", "n", "sig", "t").dropDuplicates(["node"]))
+    nodes = _common.checkpoint(rows.select("node", "n", "fp", "sig", "t").dropDuplicates(["node"]))
     keyed = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     near = _common.checkpoint(keyed.join(shared, "key").select("node", "key", "members"))
@@ -147,14 +173,14 @@ def grouped(docs: DataFrame, sets, bound: float) -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK)
     part = near.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
     sketched = part.join(nodes.select("node", "n", "sig"), "node").groupBy("key", "block").agg(F.collect_list(F.struct("node", "n", "sig")).alias("members"))
-    pairs = _common.checkpoint(_centred(sketched.select("members"), bound))
+    pairs = _common.checkpoint(_centred(sketched.select("members"), bound).unionByName(ring_pairs(nodes)).distinct())
     own, drop_own = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")), texts, nodes, sets)
     side = lambda c: own.select(F.col("node").alias(c), F.col("own").alias(f"{c}s"))
     both = F.size(F.array_intersect("us", "vs"))
     met = pairs.join(side("u"), "u").join(side("v"), "v").where(both / (F.size("us") + F.size("vs") - both) >= bound)
-    links = _common.checkpoint(met.select("u", "v"))
+    linked = _common.checkpoint(met.select("u", "v"))
     drop_own()
-    roots = _common.checkpoint(components(links))
+    roots = _common.checkpoint(components(linked))
     _common.release(spark)
 
     rooted = _common.checkpoint(part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -164,11 +190,11 @@ def grouped(docs: DataFrame, sets, bound: float) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     dealt = rooted.withColumn("other", other).withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
     groups = dealt.join(own, "node").groupBy("key", "a", "b").agg(F.collect_list(F.struct("node", "root", "own")).alias("members"))
-    links = links.unionByName(_common.checkpoint(_settled(groups.select("members"), bound)))
+    linked = linked.unionByName(_common.checkpoint(_settled(groups.select("members"), bound)))
     drop_own()
-    roots = _common.checkpoint(components(links))
+    roots = _common.checkpoint(components(linked))
     _common.release(spark)
-    out = rows.drop("n", "sig", "keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    out = rows.drop("n", "fp", "sig", "keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
     out = _common.checkpoint(out)
     drop_rows()
     _common.release(spark)
