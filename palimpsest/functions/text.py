@@ -134,12 +134,12 @@ def input_window(text: str, most: int) -> str:
     return f"{head_bytes(text, most // 2)}\n\n{WINDOW_MARK}\n\n{tail_bytes(text, most // 2)}"
 
 
-def lines_of(text: str) -> list[str]:
-    """Lines ended by a line feed, with a carriage return before it taken off."""
+def lines_of(text: str, returns: bool = False) -> list[str]:
+    """Lines ended by a line feed, with a carriage return before it taken off unless returns are kept."""
     lines = text.split("\n")
     if lines and lines[-1] == "":
         lines.pop()
-    return [x.removesuffix("\r") for x in lines]
+    return lines if returns else [x.removesuffix("\r") for x in lines]
 
 
 def condense(text: str, most_lines: int = 24, line_bytes: int = 220) -> str:
@@ -151,9 +151,10 @@ def condense(text: str, most_lines: int = 24, line_bytes: int = 220) -> str:
     return "\n".join(lines)
 
 
-def chunks(text: str, most: int = 12_000) -> list[str]:
+def chunks(text: str, most: int = 12_000, whole: bool = False) -> list[str]:
     """Whole lines up to so many bytes a chunk; a longer line is cut between characters. A chunk's lines end in line
-    feeds, which the pieces of a cut line lack."""
+    feeds, which the pieces of a cut line lack. A last chunk of blank lines is left out, carriage returns that end a line
+    too, and a text without chunks is one; whole: everything stays, and an empty text has no chunk."""
     out: list[str] = []
     now, size = [], 0
 
@@ -163,7 +164,7 @@ def chunks(text: str, most: int = 12_000) -> list[str]:
             out.append("".join(now))
         now, size = [], 0
 
-    for line in lines_of(text):
+    for line in lines_of(text, whole):
         length = len(line.encode()) + 1
         if size + length > most:
             close()
@@ -174,9 +175,9 @@ def chunks(text: str, most: int = 12_000) -> list[str]:
         if line or length <= most:
             now.append(line + "\n")
             size += len(now[-1].encode())
-    if "".join(now).strip():
+    if whole or "".join(now).strip():
         close()
-    return out or [input_window(text, most)]
+    return out if whole else out or [input_window(text, most)]
 
 
 def json_response(text: str) -> str | None:
@@ -215,9 +216,9 @@ def condense_col(text: Column, most_lines: int = 24, line_bytes: int = 220) -> C
     return _arrow(lambda x: condense(x, most_lines, line_bytes), T.StringType())(text)
 
 
-def chunks_col(text: Column, most: int = 12_000) -> Column:
+def chunks_col(text: Column, most: int = 12_000, whole: bool = False) -> Column:
     """An array; explode it for one row a chunk."""
-    return _arrow(lambda x: chunks(x, most), T.ArrayType(T.StringType()))(text)
+    return _arrow(lambda x: chunks(x, most, whole), T.ArrayType(T.StringType()))(text)
 
 
 def json_response_col(text: Column) -> Column:
